@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once.
 SLICE_BYTES = 4 << 20
@@ -60,3 +61,11 @@ def text_buffers(column: pa.Array):
         at = np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[at[0] : at[-1]], at - at[0]
+
+
+def lookup(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; beyond that joins shuffle.
+
+    For tables of a few numbers a row only, so that the bound holds for their bytes too.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,43 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+
+
+def bucket_links(met: DataFrame, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Confirmed links ``a, b`` that have the same components as all pairs within buckets.
+
+    ``met`` has ``bucket, node`` (long); ``confirm`` keeps the true links among pairs ``a < b``.
+    In each bucket all nodes are first held against one hub, the node that meets most others
+    anywhere, so that a group of n copies costs n pairs. Then only nodes that share a bucket and
+    are still in different components are paired: a pair inside a component changes nothing.
+    """
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("n"))
+    weight = met.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    hub = (
+        met.join(weight, "node")
+        .groupBy("bucket")
+        .agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("top"))
+        .select("bucket", (-F.col("top.least")).alias("hub"))
+    )
+    star = checkpoint(met.join(hub, "bucket").where("node <> hub").select(*ordered("node", "hub")).distinct())
+    linked = checkpoint(confirm(star))
+    labelled = met.join(components(linked).withColumnRenamed("id", "node"), "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component")
+    )
+    split = (
+        labelled.groupBy("bucket")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo < hi")
+        .select("bucket")
+    )
+    left = checkpoint(labelled.join(split, "bucket", "left_semi"))
+    peers = left.select("bucket", F.col("node").alias("peer"), F.col("component").alias("peer_component"))
+    rest = checkpoint(
+        left.join(peers, "bucket")
+        .where("component < peer_component")
+        .select(*ordered("node", "peer"))
+        .distinct()
+        .join(star, ["a", "b"], "left_anti")
+    )
+    return linked if rest.isEmpty() else linked.union(confirm(rest))

@@ -14,6 +14,9 @@ _PLACE = _RNG.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: Everything but ASCII letters and the bytes of other letters, for words without punctuation.
+NOT_LETTERS = np.ones(256, bool)
+NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = NOT_LETTERS[128:] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -29,12 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(
+    data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin and end of each word, and the row it stands in."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     opens = offsets[:-1][np.diff(offsets) > 0]

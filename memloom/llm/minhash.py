@@ -20,10 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from . import hashing
 from .common import checkpoint, text_buffers, text_slices
-from .components import components
+from .components import bucket_links, components
 
 SHINGLE = 5
 BUCKETS = 256
@@ -141,14 +142,14 @@ def estimate(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray) ->
     return ((x == y).mean(1) - collide) / (1 - collide)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _estimate(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="float64")
     return pd.Series(estimate(list(a), list(b), na.to_numpy(float), nb.to_numpy(float)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(
         [
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     sketched = checkpoint(sketches(docs))
     full = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = checkpoint(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    same = checkpoint(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     nodes = full.join(same.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     bands = nodes.select(
         F.col("doc_id").alias("node"),
@@ -210,45 +211,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         ).alias("band"),
     )
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = checkpoint(bands.join(shared, "band"))
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    hub = (
-        met.join(weight, "node")
-        .groupBy("band")
-        .agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("top"))
-        .select("band", (-F.col("top.least")).alias("hub"))
-    )
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = met.join(hub, "band").where("node <> hub").select(*ordered("node", "hub")).distinct()
-    linked = checkpoint(_confirmed(star, nodes, docs, percent))
-
-    grouped = components(linked)
-    labelled = met.join(grouped.withColumnRenamed("id", "node"), "node", "left").select(
-        "band", "node", F.coalesce("component", "node").alias("component")
-    )
-    split = (
-        labelled.groupBy("band")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo < hi")
-        .select("band")
-    )
-    left = checkpoint(labelled.join(split, "band", "left_semi"))
-    other = left.select("band", F.col("node").alias("peer"), F.col("component").alias("peer_component"))
-    rest = (
-        left.join(other, "band")
-        .where("component < peer_component")
-        .select(*ordered("node", "peer"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(rest, nodes, docs, percent)
+    met = checkpoint(bands.join(shared, "band").select(F.col("band").alias("bucket"), "node"))
+    linked = bucket_links(met, lambda pairs: _confirmed(pairs, nodes, docs, percent))
 
     owned = full.join(same.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node")
     repeated = (
         owned.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     )
     again = owned.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    final = components(linked.union(more).union(again))
+    final = components(linked.union(again))
     label = final.withColumnRenamed("id", "node")
     named = (
         sketched.join(same.select("h1", "h2", "node"), ["h1", "h2"], "left")
