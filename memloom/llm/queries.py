@@ -6,16 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import chat, fingerprints, langid, lines, minhash, mixing, quality, secrets, substring
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, carry=["doc_id"])
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedupe_lines(table(spark, sf_dir, "documents"))
+
+
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("shuffle_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
@@ -43,5 +84,44 @@ WITH RECURSIVE words AS (
   SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT s.doc_id, s.n AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sizes s JOIN least_id USING (doc_id)
+""",
+    "op5_substring_dedup": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, s AS start, sha256(array_to_string(w[s:s + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20)
+), repeated AS (
+  SELECT doc_id, start FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, start) AS k FROM windows) WHERE k > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS i FROM repeated
+), each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), marked AS (
+  SELECT e.doc_id, e.i, e.word, g.i IS NULL AS keep FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (NOT keep) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (keep), '') AS t
+  FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)
+""",
+    "op10_mix_sources": r"""
+WITH RECURSIVE counts AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), rates AS (
+  SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts
+), cdf(source, rate, k, p, c) AS (
+  SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+), drawn AS (
+  SELECT d.*, ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, '') || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents d
+), copies AS (
+  SELECT d.doc_id, d.source, count(*) AS n FROM drawn d JOIN cdf ON cdf.source IS NOT DISTINCT FROM d.source AND c <= u GROUP BY 1, 2
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy
+FROM (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM copies) JOIN documents d USING (doc_id)
 """,
 }
