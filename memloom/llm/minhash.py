@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from . import hashing
-from .common import checkpoint, text_buffers, text_slices
+from .common import checkpoint, lookup, text_buffers, text_slices
 from .components import bucket_links, components
 
 SHINGLE = 5
@@ -160,6 +160,118 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+def _shingles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` (a packed sorted set) of the documents in ``wanted``."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.join(lookup(checkpoint(wanted)), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        sets = shingle_sets(*text_buffers(batch.column("text")))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets]), pa.int64()),
+                pa.array(np.concatenate(sets).view(np.int64), pa.int64()),
+            ],
+            names=["node", "shingle"],
+        )
+
+
+def _reach(docs: DataFrame, nodes: DataFrame, percent: int, members: DataFrame) -> DataFrame:
+    """``node, size, reach``: set sizes, and the largest set that each node can be linked with.
+
+    Only shingles that also occur in another component among ``members`` can be common to a
+    link. If a node has s of them and n in all, then common <= s, and 100 * common >= percent *
+    union gives n + m <= s * (100 + percent) / percent for a partner of m shingles.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = members.select(F.col("node").alias("doc_id"))
+    each = rows.join(lookup(own), "doc_id", "left_semi").mapInArrow(_unpacked, "node long, shingle long")
+    each = each.join(lookup(members), "node")
+    common = (
+        each.groupBy("shingle")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo < hi")
+        .select("shingle")
+    )
+    shared = each.join(common, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
+    sizes = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"))
+    return sizes.join(shared, "node").select(
+        "node", "size", F.floor(F.col("s") * (100 + percent) / percent - F.col("size")).alias("reach")
+    )
+
+
+#: Shingles in a block of documents; two blocks are compared in one task.
+BLOCK_SHINGLES = 150_000
+
+
+def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join what is similar between the sides (or at all, if there is one side).
+
+    Common shingles are counted by matrix products over slices of the vocabulary. Of each group
+    that links hold together only a link of each node to the first is returned.
+    """
+    sizes = np.array([len(s) for s in sets], np.float32)
+    vocabulary, token = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, len(vocabulary), 4096):
+        a, b = np.searchsorted(token, [begin, begin + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], token[a:b] - begin] = 1
+        common += part @ part.T
+    near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    if len(set(side.tolist())) > 1:
+        near &= side[:, None] != side[None, :]
+    label = np.arange(len(sets))
+    while True:
+        least = np.minimum(label, np.where(near, label[None, :], len(sets)).min(1))
+        if (least == label).all():
+            break
+        label = least
+    return [(int(nodes[i]), int(nodes[k])) for i, k in enumerate(label) if i != k]
+
+
+def _block_links(docs: DataFrame, nodes: DataFrame, many: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of large buckets: of those that can be linked at all, block by block.
+
+    Buckets that share nodes form a group. A group is cut into blocks of bounded size, and each
+    pair of blocks is compared in a task of its own that returns a spanning set of links.
+    """
+    members = checkpoint(many.select("node", "component").distinct())
+    sized = checkpoint(many.join(_reach(docs, nodes, percent, members), "node"))
+    least = sized.groupBy("bucket").agg(F.min("size").alias("least"))
+    alive = checkpoint(sized.join(least, "bucket").where("reach >= least").select("bucket", "node", "size"))
+    first = alive.groupBy("bucket").agg(F.min("node").alias("b"))
+    groups = components(alive.join(first, "bucket").select(F.col("node").alias("a"), "b"))
+    placed = alive.select("node", "size").distinct().join(
+        groups.select(F.col("id").alias("node"), F.col("component").alias("group")), "node"
+    )
+    blocks = placed.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    tasks = (
+        placed.join(blocks, "group")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "group", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    )
+    sets = _shingles(docs, placed.select(F.col("node").alias("doc_id")).distinct())
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["node", "shingles"]).sort_values("node")
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        found = spanning_links(rows["node"].to_numpy(), sets, rows["block"].to_numpy(), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return (
+        tasks.join(sets.withColumnRenamed("doc_id", "node"), "node")
+        .groupBy("group", "x", "y")
+        .applyInPandas(compare, "a long, b long")
+    )
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
     side = lambda x: nodes.select(
@@ -172,11 +284,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
         .select("a", "b", "na", "nb")
     )
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .join(wanted, "doc_id", "left_semi")
-        .mapInArrow(_sets, "doc_id long, shingles binary")
-    )
+    sets = _shingles(docs, wanted)
     both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a"
     )
@@ -212,7 +320,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = checkpoint(bands.join(shared, "band").select(F.col("band").alias("bucket"), "node"))
-    linked = bucket_links(met, lambda pairs: _confirmed(pairs, nodes, docs, percent))
+    linked = bucket_links(
+        met,
+        lambda pairs: _confirmed(pairs, nodes, docs, percent),
+        lambda many: _block_links(docs, nodes, many, percent),
+    )
 
     owned = full.join(same.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node")
     repeated = (
