@@ -221,15 +221,16 @@ def posteriors(scored: DataFrame) -> DataFrame:
 def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
     """``carry`` columns of ``docs``, ``_host, _path``, and ``_low, _toxic``: log Bayes factors."""
     host, path = site(docs)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], host.alias("_host"), path.alias("_path"), text)
+    read = "text" if "text" in carry else "_text"
+    extra = [] if read in carry else [F.col("text").cast("string").alias("_text")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in carry], host.alias("_host"), path.alias("_path"), *extra)
     if model is None:
         return rows.drop("_text").withColumns({"_low": F.lit(0.0), "_toxic": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
-            factor = evidence(shared.value, *text_buffers(batch.column("_text")))
+        for batch in text_slices(batches, read):
+            factor = evidence(shared.value, *text_buffers(batch.column(read)))
             names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(factor[:, 0]), pa.array(factor[:, 1])], names=[*names, "_low", "_toxic"]
