@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -193,3 +193,21 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("direction")).unionByName(
         edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("direction"))
     )
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 256, column: str = "embedding") -> DataFrame:
+    """``query, key, similarity, place``: for each query vector its ``k`` nearest other vectors.
+
+    The queries are a stated set; ``block`` of them at a time are sent to all tasks and held
+    against every vector, and each task keeps ``k`` rows a query before the shuffle.
+    """
+    n = queries.count()
+    parts, out = max(1, -(-n // block)), None
+    for part in range(parts):
+        own = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(F.col(key).alias("query"), F.col(column).alias("_q"))
+        pairs = vectors.join(F.broadcast(own), (F.size(column) == F.size("_q")) & (F.col(key) != F.col("query")))
+        rows = pairs.select("query", key, F.round(V.cosine(F.col(column), F.col("_q")), 6).alias("similarity"))
+        order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc(key))
+        found = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
+        out = found if out is None else out.unionByName(found)
+    return out
