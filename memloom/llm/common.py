@@ -25,8 +25,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    Spark deletes the shuffle files of steps before earlier checkpoints once the driver has
+    collected its garbage; many small steps don't fill its memory, so it is told to.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.checkpoint()
 
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Links that a task reads; few links make few tasks, whatever the number of shuffle partitions.
+LINKS_A_TASK = 100_000
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest id reachable from each id that has a link.
 
@@ -48,6 +52,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
+        edges = edges.coalesce(1 + after["n"] // LINKS_A_TASK)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
