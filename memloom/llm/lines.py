@@ -21,37 +21,38 @@ THRESHOLD = 1
 NULL_ID = -(2**63)
 
 
-def segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of ``parts`` nearly equal segments of ``n`` characters."""
-    size = F.floor(n / parts).cast("int")
-    longer = n - size * parts  # as many segments, at the end, are longer by one
-    out = []
+def segments(n: Column, size: Column, parts: int) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of each of ``parts`` nearly equal segments of ``n`` characters.
+
+    ``size`` is ``n`` over ``parts``, rounded down; the last segments are longer by one.
+    """
+    longer, out = n - size * parts, []
     for i in range(parts):
-        before = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - longer))
-        out.append((size * i + before + 1, size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)))
+        extra = longer + (i - parts)  # how many of the longer ones come before segment i
+        out.append((size * i + F.greatest(F.lit(0), extra) + 1, size + F.when(extra >= 0, 1).otherwise(0)))
     return out
 
 
-def signatures(line: Column, threshold: int) -> Column:
-    """Hashes of the indexed segments and the probing substrings of a line, without repeats.
+def signatures(threshold: int) -> list[Column]:
+    """Hashes of the indexed segments and the probing substrings of ``line`` of ``chars`` characters.
 
     A segment's hash holds the length of its line, its number and its characters. For a shorter
     line of length l, segment i at p is probed at p - i' to p + (difference) + i'' where the
-    shifts are those that leave few enough edits on both sides.
+    shifts are those that leave few enough edits on both sides. A substring that the line
+    doesn't have is null.
     """
-    n, parts = F.length(line), threshold + 1
-    out = []
+    parts, n, out = threshold + 1, F.col("chars"), []
     for less in range(threshold + 1):
-        for i, (start, size) in enumerate(segments(n - less, parts)):
+        size = F.expr(f"CAST((chars - {less}) DIV {parts} AS INT)")
+        for i, (start, length) in enumerate(segments(n - less, size, parts)):
             # edits left of the segment are at most i, right of it at most threshold - i
             low = max(-i, less - (threshold - i))
             high = min(i, less + (threshold - i))
             for shift in range(low, high + 1):
                 at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n)
-                key = F.xxhash64(n - less, F.lit(i), F.substring(line, at, size))
-                out.append(F.when(fits, key))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                key = F.xxhash64(n - less, F.lit(i), F.substring(F.col("line"), at, length))
+                out.append(F.when((at >= 1) & (at + length - 1 <= n), key))
+    return out
 
 
 def within(a: Column, b: Column, threshold: int) -> Column:
@@ -83,55 +84,100 @@ def within(a: Column, b: Column, threshold: int) -> Column:
             now.append(new.bitwiseAND(F.lit(full)))
         return F.array(*now)
 
-    end = F.aggregate(F.sequence(F.lit(1), m), start, step)
+    end = F.when(m > 0, F.aggregate(F.sequence(F.lit(1), m), start, step)).otherwise(start)
     bit = n - m + threshold
     last = F.element_at(end, -1)
     return (F.abs(n - m) <= threshold) & (F.lit(1) == F.call_function("shiftright", last, bit).bitwiseAND(F.lit(1)))
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """``id, version, n, line``: each line of each text, by the text's hash and its number."""
+#: Characters that ends of two lines are compared by at once.
+STRIDE = 16
+
+
+def _equal_blocks(x: Column, y: Column, most: Column, last: bool) -> Column:
+    """How many blocks of ``STRIDE`` characters two texts have in common at one end, up to ``most``."""
+    end = lambda text, k: F.substring(text, -k * STRIDE if last else F.lit(1), k * STRIDE)
+    blocks = F.floor(most / STRIDE).cast("int")
+    same = F.size(F.filter(F.sequence(F.lit(1), blocks), lambda k: end(x, k) == end(y, k)))
+    return F.when(blocks > 0, same).otherwise(0)
+
+
+def close(pairs: DataFrame, threshold: int) -> DataFrame:
+    """The rows of ``pairs`` whose ``x`` and ``y`` are at most ``threshold`` edits apart.
+
+    Common blocks at both ends are taken off first, which leaves the distance as it is; after a
+    single edit at most a block at each end and the edited character are left between them.
+    """
+    n, m = F.length("x"), F.length("y")
+    kept = [F.col(c) for c in pairs.columns]
+    rows = pairs.select(*kept, n.alias("_n"), m.alias("_m"), F.least(n, m).alias("_k")).where(F.abs(F.col("_n") - F.col("_m")) <= threshold)
+    rows = rows.withColumn("_p", STRIDE * _equal_blocks(F.col("x"), F.col("y"), F.col("_k"), last=False))
+    rows = rows.withColumn("_s", STRIDE * _equal_blocks(F.col("x"), F.col("y"), F.col("_k") - F.col("_p"), last=True))
+    core = lambda c, size: F.substring(c, F.col("_p") + 1, F.col(size) - F.col("_p") - F.col("_s"))
+    rows = rows.select(*kept, core("x", "_n").alias("_x"), core("y", "_m").alias("_y"))
+    if threshold == 1:
+        rows = rows.where(F.greatest(F.length("_x"), F.length("_y")) < 2 * STRIDE + threshold)
+    return rows.where(within(F.col("_x"), F.col("_y"), threshold)).select(*kept)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``id, version, text``: texts without nulls, named by id and hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.xxhash64(text).alias("version"),
-        F.posexplode(F.split(text, "\n", -1)).alias("n", "line"),
-    ).withColumn("line", F.lower(F.trim("line")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(key.alias("id"), F.xxhash64(text).alias("version"), text.alias("text"))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """``id, version, n, line, chars``: each line of each text, by its number.
+
+    Lines are trimmed, lower-cased and measured before they are exploded, so once each.
+    """
+    plain = F.transform(F.split("text", "\n", -1), lambda x: F.lower(F.trim(x)))
+    measured = F.transform(plain, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))
+    rows = texts.select("id", "version", F.posexplode(measured).alias("n", "_line"))
+    return rows.select("id", "version", "n", "_line.line", "_line.chars")
+
+
+def split_lines(docs: DataFrame) -> DataFrame:
+    """The lines of ``docs``, as ``id, version, n, line, chars``."""
+    return _lines(_keyed(docs))
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``id, version, n``: the lines to remove; see :func:`dedupe_lines`."""
     name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
-    keys = [f"k{i}" for i in range(_most(threshold))]
-    long_lines = split_lines(docs).where(F.length("line") >= min_chars)
+    found_keys = signatures(threshold)
+    keys = [f"k{i}" for i in range(len(found_keys))]
+    long_lines = split_lines(docs).where(F.col("chars") >= min_chars)
     named = checkpoint(
-        long_lines.select("id", "version", "n", *name, signatures(F.col("line"), threshold).alias("keys")).select(
-            "id", "version", "n", "h1", "h2", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(keys)]
-        )
+        long_lines.select("id", "version", "n", *name, *[c.alias(k) for c, k in zip(found_keys, keys, strict=True)])
     )
     distinct = checkpoint(
         named.groupBy("h1", "h2", *keys)
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    keyed = distinct.select("node", F.explode(F.array_compact(F.array(*keys))).alias("bucket"))
+    keyed = distinct.select("node", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = checkpoint(keyed.join(shared, "bucket", "left_semi").select("bucket", "node"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = checkpoint(distinct.join(wanted, "node", "left_semi").select("h1", "h2", "node"))
-        lines = (
-            long_lines.select(*name, "line")
-            .join(lookup(wanted), ["h1", "h2"])
+        wanted = checkpoint(distinct.join(wanted, "node", "left_semi").select("h1", "h2", "id", "node"))
+        places = checkpoint(
+            named.select("h1", "h2", "id", "version", "n")
+            .join(lookup(wanted), ["h1", "h2", "id"])
             .groupBy("node")
-            .agg(F.first("line").alias("line"))
+            .agg(F.min(F.struct("id", "version", "n")).alias("at"))
+            .select("node", "at.*")
         )
+        # only texts that hold one of the lines are split again
+        texts = _keyed(docs).join(lookup(places.select("id", "version").distinct()), ["id", "version"], "left_semi")
+        lines = _lines(texts).join(lookup(places), ["id", "version", "n"]).groupBy("node").agg(F.first("line").alias("line"))
         both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
             lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
         )
-        near = F.abs(F.length("x") - F.length("y")) <= threshold
-        return both.where(near).where(within(F.col("x"), F.col("y"), threshold)).select("a", "b")
+        return close(both.select("a", "b", "x", "y"), threshold).select("a", "b")
 
     linked = components(bucket_links(met, confirm))
     grouped = distinct.join(linked.withColumnRenamed("id", "node"), "node", "left").select(
@@ -153,15 +199,6 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int
     return found.join(kept, ["component", "id", "version", "n"], "left_anti").select("id", "version", "n")
 
 
-def _most(threshold: int) -> int:
-    """How many signatures a line has at most."""
-    return sum(
-        max(0, min(i, less + threshold - i) - max(-i, less - threshold + i) + 1)
-        for less in range(threshold + 1)
-        for i in range(threshold + 1)
-    )
-
-
 def dedupe_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with near-equal lines removed from ``text``, and ``n_lines, n_removed`` (long).
 
