@@ -9,6 +9,8 @@ Lines that meet are verified by a banded bit-parallel edit distance.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,11 @@ def signatures(threshold: int) -> list[Column]:
     return out
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def within(a: Column, b: Column, threshold: int) -> Column:
     """Whether two texts are at most ``threshold`` edits apart, by banded bit-parallel steps.
 
@@ -64,60 +71,78 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     """
     width = 2 * threshold + 1
     full = (1 << width) - 1
-    x, y = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
-    n, m = F.length(a), F.length(b)
     start = F.array(*[F.lit(sum(1 << d for d in range(threshold, threshold + e + 1)) & full) for e in range(threshold + 1)])
 
-    def step(state: Column, j: Column) -> Column:
-        c = F.get(y, j - 1)
-        hit = F.lit(0)
-        for d in range(width):
-            i = j + d - threshold  # from 1
-            hit = hit.bitwiseOR(F.when((i >= 1) & (i <= n) & (F.get(x, i - 1) == c), 1 << d).otherwise(0))
-        now: list[Column] = []
-        for e in range(threshold + 1):
-            old = F.get(state, F.lit(e))
-            new = old.bitwiseAND(hit)
-            if e:
-                less = F.get(state, F.lit(e - 1))
-                new = new.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(now[-1], 1))
-            now.append(new.bitwiseAND(F.lit(full)))
-        return F.array(*now)
-
-    end = F.when(m > 0, F.aggregate(F.sequence(F.lit(1), m), start, step)).otherwise(start)
-    bit = n - m + threshold
-    last = F.element_at(end, -1)
-    return (F.abs(n - m) <= threshold) & (F.lit(1) == F.call_function("shiftright", last, bit).bitwiseAND(F.lit(1)))
+    def verified(t: Column) -> Column:
+        n, m = t["n"], t["m"]
+
+        def step(state: Column, j: Column) -> Column:
+            c = F.get(t["y"], j - 1)
+            hit = F.lit(0)
+            for d in range(width):
+                i = j + (d - threshold)  # from 1
+                same = F.when((i >= 1) & (i <= n), F.get(t["x"], i - 1) == c)
+                hit = hit.bitwiseOR(F.when(same, 1 << d).otherwise(0))
+
+            def moved(hit: Column) -> Column:
+                now: list[Column] = []
+                for e in range(threshold + 1):
+                    new = F.get(state, F.lit(e)).bitwiseAND(hit)
+                    if e:
+                        less = F.get(state, F.lit(e - 1))
+                        new = new.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(now[-1], 1))
+                    now.append(new.bitwiseAND(F.lit(full)))
+                return F.array(*now)
+
+            return _let(hit, moved)
+
+        end = F.when(m > 0, F.aggregate(F.sequence(F.lit(1), m), start, step)).otherwise(start)
+        bit = F.call_function("shiftright", F.element_at(end, -1), n - m + threshold)
+        return F.when(F.abs(n - m) <= threshold, bit.bitwiseAND(F.lit(1)) == 1).otherwise(False)
+
+    chars = lambda text: F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    texts = F.struct(chars(a).alias("x"), chars(b).alias("y"), F.length(a).alias("n"), F.length(b).alias("m"))
+    return _let(texts, verified)
 
 
 #: Characters that ends of two lines are compared by at once.
 STRIDE = 16
 
 
-def _equal_blocks(x: Column, y: Column, most: Column, last: bool) -> Column:
-    """How many blocks of ``STRIDE`` characters two texts have in common at one end, up to ``most``."""
+def _equal_ends(x: Column, y: Column, most: Column, last: bool) -> Column:
+    """How many characters, in steps of ``STRIDE``, two texts have in common at one end, up to ``most``."""
     end = lambda text, k: F.substring(text, -k * STRIDE if last else F.lit(1), k * STRIDE)
     blocks = F.floor(most / STRIDE).cast("int")
     same = F.size(F.filter(F.sequence(F.lit(1), blocks), lambda k: end(x, k) == end(y, k)))
-    return F.when(blocks > 0, same).otherwise(0)
+    return F.when(blocks > 0, same * STRIDE).otherwise(0)
 
 
-def close(pairs: DataFrame, threshold: int) -> DataFrame:
-    """The rows of ``pairs`` whose ``x`` and ``y`` are at most ``threshold`` edits apart.
+def near(x: Column, y: Column, threshold: int) -> Column:
+    """Whether two lines are at most ``threshold`` edits apart.
 
-    Common blocks at both ends are taken off first, which leaves the distance as it is; after a
-    single edit at most a block at each end and the edited character are left between them.
+    Common ends are taken off first, which leaves the distance as it is; after a single edit at
+    most a step at each end and the edited character are left between them.
     """
-    n, m = F.length("x"), F.length("y")
-    kept = [F.col(c) for c in pairs.columns]
-    rows = pairs.select(*kept, n.alias("_n"), m.alias("_m"), F.least(n, m).alias("_k")).where(F.abs(F.col("_n") - F.col("_m")) <= threshold)
-    rows = rows.withColumn("_p", STRIDE * _equal_blocks(F.col("x"), F.col("y"), F.col("_k"), last=False))
-    rows = rows.withColumn("_s", STRIDE * _equal_blocks(F.col("x"), F.col("y"), F.col("_k") - F.col("_p"), last=True))
-    core = lambda c, size: F.substring(c, F.col("_p") + 1, F.col(size) - F.col("_p") - F.col("_s"))
-    rows = rows.select(*kept, core("x", "_n").alias("_x"), core("y", "_m").alias("_y"))
-    if threshold == 1:
-        rows = rows.where(F.greatest(F.length("_x"), F.length("_y")) < 2 * STRIDE + threshold)
-    return rows.where(within(F.col("_x"), F.col("_y"), threshold)).select(*kept)
+
+    def cored(c: Column) -> Column:
+        near_core = within(c["x"], c["y"], threshold)
+        if threshold == 1:
+            short = F.greatest(F.length(c["x"]), F.length(c["y"])) < 2 * STRIDE + threshold
+            return F.when(short, near_core).otherwise(False)
+        return near_core
+
+    def sized(t: Column) -> Column:
+        most = F.least(t["n"], t["m"])
+
+        def cut(p: Column) -> Column:
+            rest = lambda s: F.struct(
+                F.substring(x, p + 1, t["n"] - p - s).alias("x"), F.substring(y, p + 1, t["m"] - p - s).alias("y")
+            )
+            return _let(_equal_ends(x, y, most - p, last=True), lambda s: _let(rest(s), cored))
+
+        return F.when(F.abs(t["n"] - t["m"]) <= threshold, _let(_equal_ends(x, y, most, last=False), cut)).otherwise(False)
+
+    return _let(F.struct(F.length(x).alias("n"), F.length(y).alias("m")), sized)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -177,7 +202,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int
         both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
             lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
         )
-        return close(both.select("a", "b", "x", "y"), threshold).select("a", "b")
+        return both.where(near(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
     linked = components(bucket_links(met, confirm))
     grouped = distinct.join(linked.withColumnRenamed("id", "node"), "node", "left").select(
