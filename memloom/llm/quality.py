@@ -23,10 +23,11 @@ from .common import checkpoint, lookup, text_buffers, text_slices
 
 #: Labelled documents that are learned from, chosen by a hash of their ids.
 MOST_LABELLED = 8_000
-DIMS = 1 << 14
-#: Words in fewer labelled documents, or with less evidence, count for nothing.
-LEAST_DOCUMENTS = 4
-LEAST_EVIDENCE = 1.5
+DIMS = 1 << 18
+#: Words in fewer labelled documents, or with less evidence of a bad one (log of how much
+#: likelier they are there), count for nothing: what is left is hardly ever there by chance.
+LEAST_DOCUMENTS = 8
+LEAST_EVIDENCE = 3.0
 REJECT = 0.5
 HEADS = ("low", "toxic")
 
@@ -62,7 +63,7 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     again[1:] = (plain[1:] == plain[:-1]) & (rows[1:] == rows[:-1])
     lone = (ends - starts == 1) & ~letter[starts] if len(starts) else again
     l_starts, l_ends, l_rows = hashing.word_bounds(data, offsets, hashing.NOT_LETTERS)
-    dims = (hashing.word_hashes(data, l_starts, l_ends, lower=True) >> np.uint64(50)).astype(np.int64)
+    dims = (hashing.word_hashes(data, l_starts, l_ends, lower=True) >> np.uint64(46)).astype(np.int64)
     pairs = np.unique(l_rows * DIMS + dims)
     distinct = np.bincount(pairs // DIMS, minlength=n)
     per_word = lambda of: np.bincount(rows[of], minlength=n) / words
@@ -153,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
             with_bad = (bad + 0.5) / (float(whole[head].sum()) + 1)
             with_good = (n - bad + 0.5) / (every - float(whole[head].sum()) + 1)
             ratio = np.log(with_bad / with_good)
-            out[i] = np.where((n >= LEAST_DOCUMENTS) & (np.abs(ratio) >= LEAST_EVIDENCE), ratio, 0)
+            out[i] = np.where((n >= LEAST_DOCUMENTS) & (ratio >= LEAST_EVIDENCE), ratio, 0)
         return out
 
     sample = read_rows.toPandas()  # at most ``most`` rows of distinct hashed words
