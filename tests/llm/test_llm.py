@@ -394,7 +394,7 @@ def test_sparse_sites_shrink_to_the_prior(spark):
 
 def test_leaks(spark):
     rng = random.Random(9)
-    vocabulary = [a + b + c for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("ban", "dor", "fel", "gim") for c in ("", "s", "ton", "ley", "um")]
+    vocabulary = [a + b + c + d for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("ban", "dor", "fel", "gim") for c in ("", "s", "ton", "ley", "um") for d in ("", "va", "zo", "xi", "we", "yu", "qi", "ha", "bo", "ce")]
     items = {k: prose(rng, rng.randint(15, 50), vocabulary) for k in range(20)}
     texts, want = {}, set()
     for i in range(150):
