@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, lookup
 from .components import bucket_links, components
 
-#: Lines of fewer code points (trimmed) are left as they are.
+#: Lines of fewer code points (trimmed) are left as they are, unless exact repeats are asked for.
 MIN_CHARS = 20
-THRESHOLD = 1
+THRESHOLD = 3
 NULL_ID = -(2**63)
 
 
@@ -168,12 +168,16 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _lines(_keyed(docs))
 
 
-def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicate_lines(
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None
+) -> DataFrame:
     """``id, version, n``: the lines to remove; see :func:`dedupe_lines`."""
     name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
-    found_keys = signatures(threshold)
+    least = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    # shorter lines have no keys, so they meet only their exact repeats
+    found_keys = [F.when(F.col("chars") >= min_chars, c) for c in signatures(threshold)]
     keys = [f"k{i}" for i in range(len(found_keys))]
-    long_lines = split_lines(docs).where(F.col("chars") >= min_chars)
+    long_lines = split_lines(docs).where(F.col("chars") >= least)
     named = checkpoint(
         long_lines.select("id", "version", "n", *name, *[c.alias(k) for c, k in zip(found_keys, keys, strict=True)])
     )
@@ -224,18 +228,21 @@ def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int
     return found.join(kept, ["component", "id", "version", "n"], "left_anti").select("id", "version", "n")
 
 
-def dedupe_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedupe_lines(
+    docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None
+) -> DataFrame:
     """``docs`` with near-equal lines removed from ``text``, and ``n_lines, n_removed`` (long).
 
     Trimmed lines of ``min_chars`` code points or more that are within ``threshold`` edits are
     linked, and of each component of links one line stays: that of the smallest id, the first
-    there. Shorter lines stay. ``docs`` needs ``doc_id`` and ``text``; its columns are all
+    there. Shorter lines stay; with ``exact_chars``, those of so many code points or more are
+    linked to their exact repeats. ``docs`` needs ``doc_id`` and ``text``; its columns are all
     returned, ``n_chars`` recounted if present, and columns named ``n_lines`` or ``n_removed``
     replaced. A null text stays null, with no lines; one whose lines all go becomes empty. A
     null id comes before all others. Rows that repeat an id and a text are decided alike.
     """
     removed = (
-        duplicate_lines(docs, threshold, min_chars)
+        duplicate_lines(docs, threshold, min_chars, exact_chars)
         .groupBy("id", "version")
         .agg(F.collect_set("n").alias("_removed"))
         .select(F.col("id").alias("_id"), F.col("version").alias("_version"), "_removed")

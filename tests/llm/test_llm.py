@@ -300,6 +300,15 @@ def test_lines_awkward_rows(spark):
     assert lines.dedupe_lines(docs_of(spark, [])).count() == 0
 
 
+def test_lines_three_edits_apart(spark):
+    line = "the meeting of the board took place on 2024-01-05 in the old town hall"
+    texts = {1: line + "\nshort one", 2: line.replace("01-05", "02-17"), 3: line.replace("old", "new"), 4: line.replace("2024-01-05", "1999-12-31"), 5: "short one\nshort two"}
+    gone = {r["doc_id"]: r["n_removed"] for r in lines.dedupe_lines(docs_of(spark, texts)).collect()}
+    assert gone == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    gone = {r["doc_id"]: r["n_removed"] for r in lines.dedupe_lines(docs_of(spark, texts), exact_chars=5).collect()}
+    assert gone == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
+
+
 def test_banded_distance(spark):
     rng = random.Random(6)
     rows = []
