@@ -428,6 +428,21 @@ def test_leaks(spark):
     assert decontam.leaks(df, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    items = {k: " ".join(rng.sample(vocabulary, 5 + k % 10)) for k in range(60)}
+    texts = {i: prose(rng, 300, vocabulary) for i in range(200)}
+    want = {(i, i) for i in items}
+    for i, _ in want:
+        at = texts[i].split()
+        place = rng.randint(0, len(at))
+        texts[i] = " ".join(at[:place] + items[i].split() + at[place:])
+    benchmark = spark.createDataFrame([*items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
