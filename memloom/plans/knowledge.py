@@ -110,14 +110,14 @@ def greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = records(spark, sf_dir).select("memory_id", F.lit("fact").alias("kind"), "title", F.substring("content", 1, 300).alias("content"), F.col("importance").alias("score"))
+    df = records(spark, sf_dir).select("memory_id", F.lit("fact").alias("kind"), "title", "content", F.col("importance").alias("score"))
     return X.agent_context(df, 3000)
 
 
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("tenant_id").orderBy(F.desc("importance"), F.asc("memory_id"))
     top = records(spark, sf_dir).withColumn("place", F.row_number().over(order)).where("place <= 3")
-    rows = top.select("tenant_id", "place", F.lit("fact").alias("kind"), F.col("importance").alias("score"), "title", F.substring("content", 1, 80).alias("content"))
+    rows = top.select("tenant_id", "place", F.lit("fact").alias("kind"), F.col("importance").alias("score"), "title", "content")
     return X.prompt(rows, ["tenant_id"], "Answer from memory.", "What is known?")
 
 

@@ -17,6 +17,26 @@ def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, f"{DATA}/sf0.001").count() > 0
 
 
+def test_contexts_and_prompts_hold_whole_contents(spark):
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
+    best = sorted(docs.values(), key=lambda r: (-(r["doc_id"] % 100), r["doc_id"]))
+    for r in knowledge.prompt_assembly(spark, f"{DATA}/sf0.001").collect():
+        top = [d for d in best if d["lang"] == r["tenant_id"]][:3]
+        assert any(len(d["text"]) > 80 for d in top)
+        blocks = [f"\n[#{k}] (fact, score={d['doc_id'] % 100 / 100:.2f}) {d['text'][:60]}\n{d['text']}" for k, d in enumerate(top, 1)]
+        assert "<memories>" + "".join(blocks) + "\n</memories>" in r["prompt"]
+    packed, got = "", knowledge.agent_context(spark, f"{DATA}/sf0.001").first()
+    for d in best[:50]:
+        block = ("\n\n" if packed else "") + f"[fact] {d['text'][:60]}\n{d['text']}"
+        left = 3000 - len(packed)
+        if len(block) > left and left - 2 * bool(packed) < 120:
+            break
+        packed += block[:left]
+        if len(block) > left:
+            break
+    assert got["context"] == packed
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
