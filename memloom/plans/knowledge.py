@@ -38,7 +38,7 @@ def classify_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = records(spark, sf_dir).where("tenant_id = 'en'").select("memory_id", N.names(F.col("content")).alias("n"))
+    found = records(spark, sf_dir).select("memory_id", N.names(F.col("content")).alias("n"))
     return found.where(F.size("n") > 0).select("memory_id", F.size("n").cast("long").alias("n_names"), F.array_join("n", "|").alias("names"))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import DATA, same_rows
 
@@ -37,6 +39,17 @@ def test_contexts_and_prompts_hold_whole_contents(spark):
     assert got["context"] == packed
 
 
+def test_entities_of_all_languages(spark):
+    found = {}
+    for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect():
+        names = list(dict.fromkeys(re.findall(r"[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+)+", r["text"])))
+        if names:
+            found[r["doc_id"]] = (len(names), "|".join(names), r["lang"])
+    assert {lang for _, _, lang in found.values()} > {"en"}
+    got = {r["memory_id"]: (r["n_names"], r["names"]) for r in knowledge.entity_extraction(spark, f"{DATA}/sf0.001").collect()}
+    assert got == {k: v[:2] for k, v in found.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
