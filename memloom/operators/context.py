@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ledger import saved
 
 #: Model tiers from the cheapest on.
 TIERS = ("fast", "balanced", "powerful")
@@ -32,16 +34,44 @@ def greedy_budget(candidates: DataFrame, group: Sequence[str], total: int, syste
     """``group, selected, used, remaining``: the most valuable candidates that fit the tokens left.
 
     ``candidates`` has ``id, tokens, score, importance``. They are tried by 0.6 score + 0.4
-    importance, and one that is too large is passed over. A prompt holds few records, so the
-    best ``candidates_each`` of a group are tried; they are cut before they are gathered.
+    importance, and one that is too large is passed over. They are gathered in rounds of at
+    most ``candidates_each`` of a group: the best of those that come later and fit what is left.
+    One that doesn't fit by then never will, so the rounds end with all candidates tried.
     """
-    value = 0.6 * F.col("score") + 0.4 * F.col("importance")
-    order = Window.partitionBy(*group).orderBy(F.desc("value"), F.asc("id"))
-    best = candidates.withColumn("value", F.round(value, 9)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= candidates_each)
-    budget = max(0, total - system - user)
-    gathered = best.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("k", "id", F.col("tokens").cast("long").alias("tokens")))).alias("items"))
-    done = gathered.withColumn("p", _packed(F.col("items"), F.lit(budget).cast("long"), "tokens", skip=True))
-    return done.select(*group, F.array_join("p.ids", ",").alias("selected"), F.col("p.used").alias("used"), (F.lit(budget).cast("long") - F.col("p.used")).alias("remaining"))
+    value = F.round(0.6 * F.col("score") + 0.4 * F.col("importance"), 9)
+    budget = F.lit(max(0, total - system - user)).cast("long")
+    names = [f"_g{i}" for i in range(len(group))]
+    keys = [F.col(g).alias(n) for g, n in zip(group, names, strict=True)]
+    place = F.struct(value.isNull().alias("none"), (-value).alias("value"), "id", F.monotonically_increasing_id().alias("row"))
+    placed = saved(candidates.select(*keys, "id", F.col("tokens").cast("long").alias("tokens"), place.alias("place")))
+    state = placed.groupBy(*names).agg(
+        F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<string>)").alias("ids"), F.lit(None).cast(placed.schema["place"].dataType).alias("last")
+    )
+    next_ones = Window.partitionBy(*names).orderBy("place")
+    while True:
+        seen = state.select(*[F.col(n).alias(f"{n}s") for n in names], (budget - F.col("used")).alias("left"), "last")
+        same = [F.col(n).eqNullSafe(F.col(f"{n}s")) for n in names] or [F.lit(True)]
+        later = placed.join(seen, reduce(lambda x, y: x & y, same)).where("(last IS NULL OR place > last) AND tokens <= left").select(*placed.columns, "left")
+        best = later.withColumn("k", F.row_number().over(next_ones)).where(F.col("k") <= candidates_each)
+        items = F.array_sort(F.collect_list(F.struct("place", "id", "tokens")))
+        gathered = saved(best.groupBy(*names).agg(items.alias("items"), F.first("left").alias("left"), F.max("place").alias("reached")))
+        if gathered.isEmpty():
+            break
+        more = gathered.select(
+            *[F.col(n).alias(f"{n}s") for n in names], _packed(F.col("items"), F.col("left"), "tokens", skip=True).alias("p"), "reached"
+        )
+        state = saved(
+            state.join(more, reduce(lambda x, y: x & y, same), "left").select(
+                *names,
+                (F.col("used") + F.coalesce("p.used", F.lit(0))).alias("used"),
+                F.when(F.col("p").isNull(), F.col("ids")).otherwise(F.concat("ids", "p.ids")).alias("ids"),
+                F.coalesce("reached", "last").alias("last"),
+            )
+        )
+    return state.select(
+        *[F.col(n).alias(g) for g, n in zip(group, names, strict=True)],
+        F.array_join("ids", ",").alias("selected"), "used", (budget - F.col("used")).alias("remaining"),
+    )
 
 
 def agent_context(records: DataFrame, max_characters: int, limit: int = 50) -> DataFrame:

@@ -33,6 +33,14 @@ def test_budget_skips_what_does_not_fit(spark):
     assert values(context.greedy_budget(big, ["g"], 1000, 500, 400), "selected", "used") == [("", 0)]
 
 
+def test_budget_tries_candidates_after_the_best(spark):
+    sizes = {"q": [90, *[200] * 7, 8, *[50] * 5, 3, 1, 1], None: [40, *[70] * 6, 30, 30, 25], "none": [101]}
+    rows = [(g, f"{k:02d}", n, 1 - k / 100, 0.5) for g, tokens in sizes.items() for k, n in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "g string, id string, tokens long, score double, importance double")
+    got = {r["g"]: (r["selected"], r["used"], r["remaining"]) for r in context.greedy_budget(df, ["g"], 100, candidates_each=2).collect()}
+    assert got == {"q": ("00,08,15,16", 100, 0), None: ("00,07,08", 100, 0), "none": ("", 0, 100)}
+
+
 def test_trigger_scores_and_tenants(spark):
     index = triggers.phrase_index(
         spark.createDataFrame([("a", "Project  Plan", 1), ("a", "roadmap", 2), ("b", "plan", 3)], "tenant_id string, phrase string, memory_id long")
