@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared checkpoint folder as Parquet and read again.
+
+    For tables with texts: they are compressed there, and a reader takes only the columns it needs.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

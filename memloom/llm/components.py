@@ -59,22 +59,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-#: Nodes of a bucket that are paired one by one.
-SMALL_BUCKET = 32
-
-
 def bucket_links(
-    met: DataFrame,
-    confirm: Callable[[DataFrame], DataFrame],
-    among: Callable[[DataFrame], DataFrame] | None = None,
+    met: DataFrame, confirm: Callable[[DataFrame], DataFrame], among: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Links ``a, b`` that have the same components as all confirmed pairs within buckets.
+    """Links ``a, b`` that have the same components as all true links within buckets.
 
     ``met`` has ``bucket, node`` (long); ``confirm`` keeps the true links among pairs ``a < b``.
     In each bucket all nodes are first held against one hub, the node that meets most others
-    anywhere, so that a group of n copies costs n pairs. Then only nodes that share a bucket and
-    are still in different components are paired: a pair inside a component changes nothing.
-    Buckets with many such nodes go to ``among`` (``bucket, node, component`` to links), if given.
+    anywhere, so that a group of n copies costs n pairs. A pair inside a component changes
+    nothing, so what is left are buckets whose nodes are still in different components: these go
+    to ``among`` (``bucket, node, component`` to links), whatever their number.
     """
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     sizes = met.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -92,18 +86,9 @@ def bucket_links(
     )
     split = (
         labelled.groupBy("bucket")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi")
-        .select("bucket", "n")
+        .select("bucket")
     )
-    left = checkpoint(labelled.join(split, "bucket"))
-    few = left if among is None else left.where(F.col("n") <= SMALL_BUCKET)
-    peers = few.select("bucket", F.col("node").alias("peer"), F.col("component").alias("peer_component"))
-    rest = few.join(peers, "bucket").where("component < peer_component").select(*ordered("node", "peer"))
-    rest = checkpoint(rest.distinct().join(star, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        linked = linked.union(confirm(rest))
-    many = left.where(F.col("n") > SMALL_BUCKET).drop("n")
-    if among is not None and not many.isEmpty():
-        linked = linked.union(among(many))
-    return linked
+    left = checkpoint(labelled.join(split, "bucket", "left_semi"))
+    return linked if left.isEmpty() else linked.union(among(left))

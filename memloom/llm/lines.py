@@ -10,11 +10,12 @@ Lines that meet are verified by a banded bit-parallel edit distance.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lookup
+from .common import checkpoint, lookup, saved
 from .components import bucket_links, components
 
 #: Lines of fewer code points (trimmed) are left as they are, unless exact repeats are asked for.
@@ -35,15 +36,17 @@ def segments(n: Column, size: Column, parts: int) -> list[tuple[Column, Column]]
     return out
 
 
-def signatures(threshold: int) -> list[Column]:
-    """Hashes of the indexed segments and the probing substrings of ``line`` of ``chars`` characters.
+def signatures(threshold: int) -> tuple[list[Column], list[Column]]:
+    """Hashes of the indexed segments, and of the probing substrings, of ``line`` of ``chars`` characters.
 
-    A segment's hash holds the length of its line, its number and its characters. For a shorter
-    line of length l, segment i at p is probed at p - i' to p + (difference) + i'' where the
-    shifts are those that leave few enough edits on both sides. A substring that the line
-    doesn't have is null.
+    A segment's hash holds the length of its line, its number and its characters. For a line as
+    long or shorter, of length l, segment i at p is probed at p - i' to p + (difference) + i''
+    where the shifts are those that leave few enough edits on both sides. A substring that the
+    line doesn't have is null.
     """
-    parts, n, out = threshold + 1, F.col("chars"), []
+    parts, n = threshold + 1, F.col("chars")
+    own: list[Column] = []
+    probes: list[Column] = []
     for less in range(threshold + 1):
         size = F.expr(f"CAST((chars - {less}) DIV {parts} AS INT)")
         for i, (start, length) in enumerate(segments(n - less, size, parts)):
@@ -53,8 +56,9 @@ def signatures(threshold: int) -> list[Column]:
             for shift in range(low, high + 1):
                 at = start + shift
                 key = F.xxhash64(n - less, F.lit(i), F.substring(F.col("line"), at, length))
-                out.append(F.when((at >= 1) & (at + length - 1 <= n), key))
-    return out
+                found = F.when((at >= 1) & (at + length - 1 <= n), key)
+                (probes if less or shift else own).append(found)
+    return own, probes
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,42 +109,65 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return _let(texts, verified)
 
 
-#: Characters that ends of two lines are compared by at once.
-STRIDE = 16
+def _common(x: Column, y: Column, n: Column, m: Column, most: Column, last: bool) -> Column:
+    """How many characters two texts of ``n`` and ``m`` have in common at one end, up to ``most``.
+
+    Found by halving steps: each step compares the next piece, as long as a power of two.
+    """
+
+    def step(so_far: Column, power: Column) -> Column:
+        k = F.call_function("shiftleft", F.lit(1), power)
+        end = lambda text, size: F.substring(text, size - so_far - k + 1 if last else so_far + 1, k)
+        return F.when((so_far + k <= most) & (end(x, n) == end(y, m)), so_far + k).otherwise(so_far)
+
+    return F.aggregate(F.sequence(F.ceil(F.log2(most + 1)).cast("int"), F.lit(0), F.lit(-1)), F.lit(0), step)
 
 
-def _equal_ends(x: Column, y: Column, most: Column, last: bool) -> Column:
-    """How many characters, in steps of ``STRIDE``, two texts have in common at one end, up to ``most``."""
-    end = lambda text, k: F.substring(text, -k * STRIDE if last else F.lit(1), k * STRIDE)
-    blocks = F.floor(most / STRIDE).cast("int")
-    same = F.size(F.filter(F.sequence(F.lit(1), blocks), lambda k: end(x, k) == end(y, k)))
-    return F.when(blocks > 0, same * STRIDE).otherwise(0)
+#: Shorter cores are verified without a look at their halves.
+SHORT_CORE = 12
+
+
+def _half_alike(c: Column) -> Column:
+    """Whether half of two cores, without their outer characters, is equal at nearly the same place.
+
+    Cores begin and end with an edit, so of three edits at most one is between: one half has none.
+    """
+    x, y, n, m = c["x"], c["y"], c["n"], c["m"]
+    mid = F.shiftright(n, 1)
+    left, right = F.substring(x, F.lit(2), mid - 1), F.substring(x, mid + 1, n - 1 - mid)
+    tests = []
+    for d in (-1, 0, 1):
+        tests.append(left == F.substring(y, F.lit(2 + d), mid - 1))
+        tests.append(right == F.substring(y, mid + 1 + (m - n) + d, n - 1 - mid))
+    return (F.least(n, m) < SHORT_CORE) | reduce(lambda a, b: a | b, tests)
 
 
 def near(x: Column, y: Column, threshold: int) -> Column:
     """Whether two lines are at most ``threshold`` edits apart.
 
-    Common ends are taken off first, which leaves the distance as it is; after a single edit at
-    most a step at each end and the edited character are left between them.
+    Common ends are taken off first, which leaves the distance as it is.
     """
 
     def cored(c: Column) -> Column:
-        near_core = within(c["x"], c["y"], threshold)
         if threshold == 1:
-            short = F.greatest(F.length(c["x"]), F.length(c["y"])) < 2 * STRIDE + threshold
-            return F.when(short, near_core).otherwise(False)
-        return near_core
+            return F.greatest(c["n"], c["m"]) <= 1
+        full = within(c["x"], c["y"], threshold)
+        if threshold <= 3:
+            full = F.when(_half_alike(c), full).otherwise(False)
+        return F.when(F.least(c["n"], c["m"]) <= 0, True).otherwise(full)
 
     def sized(t: Column) -> Column:
-        most = F.least(t["n"], t["m"])
+        n, m = t["n"], t["m"]
+        most = F.least(n, m)
 
         def cut(p: Column) -> Column:
+            core = lambda text, size, s: F.substring(text, p + 1, size - p - s)
             rest = lambda s: F.struct(
-                F.substring(x, p + 1, t["n"] - p - s).alias("x"), F.substring(y, p + 1, t["m"] - p - s).alias("y")
+                core(x, n, s).alias("x"), core(y, m, s).alias("y"), (n - p - s).alias("n"), (m - p - s).alias("m")
             )
-            return _let(_equal_ends(x, y, most - p, last=True), lambda s: _let(rest(s), cored))
+            return _let(_common(x, y, n, m, most - p, last=True), lambda s: _let(rest(s), cored))
 
-        return F.when(F.abs(t["n"] - t["m"]) <= threshold, _let(_equal_ends(x, y, most, last=False), cut)).otherwise(False)
+        return F.when(F.abs(n - m) <= threshold, _let(_common(x, y, n, m, most, last=False), cut)).otherwise(False)
 
     return _let(F.struct(F.length(x).alias("n"), F.length(y).alias("m")), sized)
 
@@ -168,47 +195,73 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _lines(_keyed(docs))
 
 
+def _met(distinct: DataFrame, threshold: int) -> DataFrame:
+    """``bucket, node``: lines that share an indexed segment, or probe one, with another line."""
+    own, probes = signatures(threshold)
+    each = lambda keys: F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("bucket")
+    index = distinct.select(each(own), "node")
+    again = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    again = checkpoint(again)
+    hits = checkpoint(distinct.select(each(probes), "node").join(index.select("bucket").distinct(), "bucket", "left_semi"))
+    wanted = checkpoint(again.union(hits.select("bucket")).distinct())
+    return checkpoint(index.join(lookup(wanted), "bucket", "left_semi").union(hits).distinct())
+
+
+#: Lines, and their characters, in a block; two blocks are compared in one row.
+BLOCK_LINES = 32
+BLOCK_CHARS = 1 << 16
+
+
+def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """How pairs are confirmed, and how links are found among the nodes of a bucket."""
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        wanted = checkpoint(nodes.distinct())
+        return distinct.select("node", "line").join(lookup(wanted), "node", "left_semi")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        lines = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
+            lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
+        )
+        return both.where(near(F.col("x"), F.col("y"), threshold)).select("a", "b")
+
+    def among(left: DataFrame) -> DataFrame:
+        """A bucket is dealt to blocks by a hash, and each pair of blocks is one row of two arrays."""
+        rows = left.join(texts(left.select("node")), "node")
+        size = F.greatest(F.count("*") / BLOCK_LINES, F.sum(F.length("line")) / BLOCK_CHARS)
+        blocks = rows.groupBy("bucket").agg(F.ceil(size).cast("int").alias("k"))
+        dealt = saved(
+            rows.join(blocks, "bucket")
+            .groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
+            .agg(F.collect_list(F.struct("node", "component", "line")).alias("lines"))
+        )
+        a = dealt.select("bucket", F.col("block").alias("i"), F.col("lines").alias("xs"))
+        b = dealt.select("bucket", F.col("block").alias("j"), F.col("lines").alias("ys"))
+
+        def of(x: Column) -> Column:
+            other = lambda y: (x["component"] != y["component"]) & ((F.col("i") < F.col("j")) | (x["node"] < y["node"]))
+            link = lambda y: F.when(other(y), near(x["line"], y["line"], threshold)).otherwise(False)
+            return F.transform(F.filter(F.col("ys"), link), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
+
+        return a.join(b, "bucket").where("i <= j").select(F.explode(F.flatten(F.transform("xs", of))).alias("_")).select("_.*")
+
+    return confirm, among
+
+
 def duplicate_lines(
     docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None
 ) -> DataFrame:
     """``id, version, n``: the lines to remove; see :func:`dedupe_lines`."""
     name = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), F.col("line")).alias("h2")]
     least = min_chars if exact_chars is None else min(exact_chars, min_chars)
-    # shorter lines have no keys, so they meet only their exact repeats
-    found_keys = [F.when(F.col("chars") >= min_chars, c) for c in signatures(threshold)]
-    keys = [f"k{i}" for i in range(len(found_keys))]
     long_lines = split_lines(docs).where(F.col("chars") >= least)
-    named = checkpoint(
-        long_lines.select("id", "version", "n", *name, *[c.alias(k) for c, k in zip(found_keys, keys, strict=True)])
-    )
-    distinct = checkpoint(
-        named.groupBy("h1", "h2", *keys)
+    distinct = saved(
+        long_lines.groupBy("line")
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-        .withColumn("node", F.monotonically_increasing_id())
+        .select("line", F.length("line").alias("chars"), *name, "id", "copies", F.monotonically_increasing_id().alias("node"))
     )
-    keyed = distinct.select("node", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = checkpoint(keyed.join(shared, "bucket", "left_semi").select("bucket", "node"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = checkpoint(distinct.join(wanted, "node", "left_semi").select("h1", "h2", "id", "node"))
-        places = checkpoint(
-            named.select("h1", "h2", "id", "version", "n")
-            .join(lookup(wanted), ["h1", "h2", "id"])
-            .groupBy("node")
-            .agg(F.min(F.struct("id", "version", "n")).alias("at"))
-            .select("node", "at.*")
-        )
-        # only texts that hold one of the lines are split again
-        texts = _keyed(docs).join(lookup(places.select("id", "version").distinct()), ["id", "version"], "left_semi")
-        lines = _lines(texts).join(lookup(places), ["id", "version", "n"]).groupBy("node").agg(F.first("line").alias("line"))
-        both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
-            lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
-        )
-        return both.where(near(F.col("x"), F.col("y"), threshold)).select("a", "b")
-
-    linked = components(bucket_links(met, confirm))
+    linked = components(bucket_links(_met(distinct.where(F.col("chars") >= min_chars), threshold), *_tests(distinct, threshold)))
     grouped = distinct.join(linked.withColumnRenamed("id", "node"), "node", "left").select(
         "h1", "h2", "id", "copies", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("near")
     )
@@ -218,7 +271,8 @@ def duplicate_lines(
         .join(first, "component", "left")
         .select("h1", "h2", "component", F.coalesce("first_id", "id").alias("first_id"))
     )
-    found = checkpoint(named.select("h1", "h2", F.col("id"), "version", "n").join(again, ["h1", "h2"]).drop("h1", "h2"))
+    named = long_lines.select("id", "version", "n", *name)
+    found = checkpoint(named.join(again, ["h1", "h2"]).drop("h1", "h2"))
     kept = (
         found.where("id = first_id")
         .groupBy("component", "id")

@@ -6,9 +6,9 @@ Bands of registers name candidates, a collision-corrected estimate of the Jaccar
 those that are far off, and full shingle sets confirm the rest.
 
 Texts with equal sets are one node. In a bucket of nodes, each is first held against one hub,
-so that a group of thousands of copies costs a star and not all pairs; only nodes that are then
-still in different components are paired. Nothing is capped: pairs inside one component cannot
-change a component.
+so that a group of thousands of copies costs a star and not all pairs; nodes that are then still
+in different components are compared block by block. Nothing is capped: pairs inside one
+component cannot change a component.
 """
 
 from __future__ import annotations
@@ -202,8 +202,9 @@ def _reach(docs: DataFrame, nodes: DataFrame, percent: int, members: DataFrame)
     )
 
 
-#: Shingles in a block of documents; two blocks are compared in one task.
+#: Shingles, and documents, in a block; two blocks are compared in one task.
 BLOCK_SHINGLES = 150_000
+BLOCK_NODES = 1_500
 
 
 def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -218,17 +219,17 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
     common = np.zeros((len(sets), len(sets)), np.float32)
-    for begin in range(0, len(vocabulary), 4096):
-        a, b = np.searchsorted(token, [begin, begin + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
+    for begin in range(0, len(vocabulary), 2048):
+        a, b = np.searchsorted(token, [begin, begin + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
         part[owner[a:b], token[a:b] - begin] = 1
         common += part @ part.T
     near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     if len(set(side.tolist())) > 1:
         near &= side[:, None] != side[None, :]
-    label = np.arange(len(sets))
+    label = np.arange(len(sets), dtype=np.int32)
     while True:
-        least = np.minimum(label, np.where(near, label[None, :], len(sets)).min(1))
+        least = np.minimum(label, np.where(near, label[None, :], np.int32(len(sets))).min(1))
         if (least == label).all():
             break
         label = least
@@ -236,7 +237,7 @@ def spanning_links(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
 
 
 def _block_links(docs: DataFrame, nodes: DataFrame, many: DataFrame, percent: int) -> DataFrame:
-    """Links among the nodes of large buckets: of those that can be linked at all, block by block.
+    """Links among the nodes of buckets: of those that can be linked at all, block by block.
 
     Buckets that share nodes form a group. A group is cut into blocks of bounded size, and each
     pair of blocks is compared in a task of its own that returns a spanning set of links.
@@ -250,7 +251,9 @@ def _block_links(docs: DataFrame, nodes: DataFrame, many: DataFrame, percent: in
     placed = alive.select("node", "size").distinct().join(
         groups.select(F.col("id").alias("node"), F.col("component").alias("group")), "node"
     )
-    blocks = placed.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    blocks = placed.groupBy("group").agg(
+        F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_NODES)).cast("int").alias("blocks")
+    )
     tasks = (
         placed.join(blocks, "group")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -264,12 +265,16 @@ def distance(a, b):
 def lines_plainly(texts, threshold, least):
     every = [(i, n, x.strip(" ").lower()) for i in sorted(texts) for n, x in enumerate((texts[i] or "").split("\n"))]
     every = [x for x in every if len(x[2]) >= least]
-    linked = [(a, b) for a, b in itertools.combinations(range(len(every)), 2) if abs(len(every[a][2]) - len(every[b][2])) <= threshold and distance(every[a][2], every[b][2]) <= threshold]
+    bags = [Counter(x[2]) for x in every]
+    linked = [
+        (a, b) for a, b in itertools.combinations(range(len(every)), 2)
+        if max((bags[a] - bags[b]).total(), (bags[b] - bags[a]).total()) <= threshold and distance(every[a][2], every[b][2]) <= threshold
+    ]
     label = link_components(range(len(every)), linked)
     return {(every[k][0], every[k][1]) for k in label if label[k] != k}
 
 
-@pytest.mark.parametrize("threshold", [1, 2])
+@pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_lines(spark, threshold):
     rng = random.Random(threshold)
     pool = [prose(rng, rng.randint(4, 9)) for _ in range(25)] + ["é" * 30, "🎈 balloon over the roofs of the town", "short"]
@@ -309,6 +314,39 @@ def test_lines_three_edits_apart(spark):
     assert gone == {1: 0, 2: 1, 3: 1, 4: 0, 5: 1}
 
 
+def test_lines_of_a_large_group_that_links_in_parts(spark):
+    """300 lines share most of their text, and are linked only to some of each other."""
+    rng = random.Random(11)
+    base = prose(rng, 16).split()
+    texts = {}
+    for i in range(100):
+        w = list(base)
+        w[rng.randrange(16)] = f"changed{rng.randrange(10**6)}"
+        w[rng.randrange(16)] = f"altered{rng.randrange(10**6)}"
+        own = " ".join(w)
+        texts[3 * i] = own
+        texts[3 * i + 1] = own.replace("changed", "chamged").replace("altered", "alterde")
+        texts[3 * i + 2] = own.replace("changed", "xxchanged").replace("altered", "yyaltered")
+    gone = lines_plainly(texts, 3, 20)
+    assert 90 <= len(gone) <= 120
+    got = {(r["doc_id"], 0) for r in lines.dedupe_lines(docs_of(spark, texts)).collect() if r["n_removed"]}
+    assert got == gone
+
+
+def test_near_lines(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
+        rows.append((a, "".join(b)))
+    for k in (1, 2, 3, 4):
+        got = spark.createDataFrame(rows, "a string, b string").withColumn("near", lines.near(F.col("a"), F.col("b"), k)).collect()
+        assert [r for r in got if r["near"] != (distance(r["a"], r["b"]) <= k)] == []
+
+
 def test_banded_distance(spark):
     rng = random.Random(6)
     rows = []
