@@ -48,8 +48,8 @@ def signatures(threshold: int) -> tuple[list[Column], list[Column]]:
     own: list[Column] = []
     probes: list[Column] = []
     for less in range(threshold + 1):
-        size = F.expr(f"CAST((chars - {less}) DIV {parts} AS INT)")
-        for i, (start, length) in enumerate(segments(n - less, size, parts)):
+        for i in range(parts):
+            start, length = F.col(f"start{less}_{i}"), F.col(f"length{less}_{i}")
             # edits left of the segment are at most i, right of it at most threshold - i
             low = max(-i, less - (threshold - i))
             high = min(i, less + (threshold - i))
@@ -61,6 +61,16 @@ def signatures(threshold: int) -> tuple[list[Column], list[Column]]:
     return own, probes
 
 
+def with_segments(lines: DataFrame, threshold: int) -> DataFrame:
+    """``lines`` with the columns that :func:`signatures` reads: start and length of the segments of each length."""
+    parts, made = threshold + 1, {}
+    for less in range(parts):
+        size = F.expr(f"CAST((chars - {less}) DIV {parts} AS INT)")
+        for i, (start, length) in enumerate(segments(F.col("chars") - less, size, parts)):
+            made |= {f"start{less}_{i}": start, f"length{less}_{i}": length}
+    return lines.withColumns(made)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -195,21 +205,45 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _lines(_keyed(docs))
 
 
+#: Keys that one select computes; the code made for more is too long for the JVM to compile well.
+KEYS_AT_ONCE = 11
+
+
 def _met(distinct: DataFrame, threshold: int) -> DataFrame:
     """``bucket, node``: lines that share an indexed segment, or probe one, with another line."""
     own, probes = signatures(threshold)
-    each = lambda keys: F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("bucket")
-    index = distinct.select(each(own), "node")
-    again = index.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    again = checkpoint(again)
-    hits = checkpoint(distinct.select(each(probes), "node").join(index.select("bucket").distinct(), "bucket", "left_semi"))
-    wanted = checkpoint(again.union(hits.select("bucket")).distinct())
-    return checkpoint(index.join(lookup(wanted), "bucket", "left_semi").union(hits).distinct())
+    cut = with_segments(distinct, threshold)
+
+    def each(keys: list[Column]) -> DataFrame:
+        # keys are computed before they are exploded, and by an outer explode, so that they are computed once
+        keyed = lambda some: cut.select("node", F.array(*some).alias("keys")).select(F.explode_outer("keys").alias("bucket"), "node")
+        groups = [keyed(keys[k : k + KEYS_AT_ONCE]) for k in range(0, len(keys), KEYS_AT_ONCE)]
+        return reduce(DataFrame.union, groups).where("bucket IS NOT NULL")
+
+    index = each(own)
+    indexed = saved(index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("node")))
+    hits = checkpoint(each(probes).join(indexed.select("bucket"), "bucket", "left_semi"))
+    hit = checkpoint(hits.select("bucket").distinct())
+    again = checkpoint(indexed.where("n > 1").select("bucket"))
+    lone = indexed.where("n = 1").join(lookup(hit), "bucket", "left_semi").select("bucket", "node")
+    several = index.join(lookup(again), "bucket", "left_semi")
+    return checkpoint(hits.select("bucket", "node").union(lone).union(several).distinct())
 
 
 #: Lines, and their characters, in a block; two blocks are compared in one row.
 BLOCK_LINES = 32
 BLOCK_CHARS = 1 << 16
+#: Kinds of characters that are counted. An edit changes two counts by one at most.
+COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "cu", "mf", "pgwyb", "vkxjqz", "0123456789")
+
+
+def _counts(line: Column) -> Column:
+    return F.array(*[F.length(line) - F.length(F.translate(line, kind, "")) for kind in COUNTED])
+
+
+def _countable(x: Column, y: Column, threshold: int) -> Column:
+    """Whether lines of these counts can be so few edits apart; a cheap test before the lines are compared."""
+    return reduce(lambda a, b: a + b, [F.abs(F.get(x, i) - F.get(y, i)) for i in range(len(COUNTED))]) <= 2 * threshold
 
 
 def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
@@ -234,17 +268,20 @@ def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], D
         dealt = saved(
             rows.join(blocks, "bucket")
             .groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
-            .agg(F.collect_list(F.struct("node", "component", "line")).alias("lines"))
+            .agg(F.collect_list(F.struct("node", "component", "line", _counts(F.col("line")).alias("counts"))).alias("lines"))
         )
         a = dealt.select("bucket", F.col("block").alias("i"), F.col("lines").alias("xs"))
         b = dealt.select("bucket", F.col("block").alias("j"), F.col("lines").alias("ys"))
 
         def of(x: Column) -> Column:
             other = lambda y: (x["component"] != y["component"]) & ((F.col("i") < F.col("j")) | (x["node"] < y["node"]))
-            link = lambda y: F.when(other(y), near(x["line"], y["line"], threshold)).otherwise(False)
+            able = lambda y: F.when(other(y), _countable(x["counts"], y["counts"], threshold)).otherwise(False)
+            link = lambda y: F.when(able(y), near(x["line"], y["line"], threshold)).otherwise(False)
             return F.transform(F.filter(F.col("ys"), link), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 
-        return a.join(b, "bucket").where("i <= j").select(F.explode(F.flatten(F.transform("xs", of))).alias("_")).select("_.*")
+        # an outer explode: the optimizer would compute the operand of a plain one once more, for a filter
+        found = a.join(b, "bucket").where("i <= j").select(F.explode_outer(F.flatten(F.transform("xs", of))).alias("_"))
+        return found.where("_ IS NOT NULL").select("_.*")
 
     return confirm, among
 
