@@ -8,6 +8,8 @@ identifiers; both are trained from labelled samples. A token above ``ODDS`` is a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,11 @@ def identifier_samples() -> list[str]:
 
 
 def labelled_samples(docs: DataFrame) -> DataFrame:
-    """``token, random``: generated random strings, identifiers, and words of some documents."""
+    """``token, random``: generated random strings, made identifiers, and tokens of some documents.
+
+    The tokens are those of sampled documents that no pattern matches, whatever their characters:
+    what the corpus itself writes in file names, numbers and compounds counts as ordinary.
+    """
     spark = docs.sparkSession
     seed = F.concat(F.lit("sample:"), F.col("id"))
     raw = F.unhex(F.sha2(seed, 256))
@@ -76,10 +82,10 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
         for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE_DOCUMENTS).collect()
     ]
-    text = F.regexp_replace(F.regexp_replace(F.col("text").cast("string"), ASSIGN, " "), f"{HEX}|{ACCESS}", " ")
+    text = F.col("text").cast("string")
     words = (
-        docs.where(F.col("doc_id").isin(ids))
-        .select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("token"))
+        docs.where(F.col("doc_id").isin(ids) & ~text.rlike(f"{ASSIGN}|{HEX}|{ACCESS}"))
+        .select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))).alias("token"))
         .select("token", F.lit(False).alias("random"))
     )
     return made.unionByName(fixed).unionByName(words)
@@ -90,16 +96,13 @@ def train(samples: DataFrame) -> list[float]:
 
     Counts are smoothed by half. The table has ``STATES`` squared entries, whatever the samples.
     """
+    chars = F.regexp_extract_all("token", F.lit("(?s)."), F.lit(0))
+    n = F.size("chars") - 1
+    pair = F.zip_with(F.slice("chars", F.lit(1), n), F.slice("chars", F.lit(2), n), lambda x, y: F.concat(x, y))
     pairs = (
         samples.where("length(token) >= 2")
-        .select(
-            "random",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2))
-                )
-            ).alias("pair"),
-        )
+        .select("random", chars.alias("chars"))
+        .select("random", F.explode(pair).alias("pair"))
         .select(
             "random",
             (F.instr(F.lit(ALPHABET), F.substring("pair", 1, 1)) * STATES
@@ -115,16 +118,48 @@ def train(samples: DataFrame) -> list[float]:
     return [logs[True][i][j] - logs[False][i][j] for i in range(STATES) for j in range(STATES)]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_ratio(token: Column, table: Column) -> Column:
-    """The log-likelihood ratio of a token: the sum over its pairs of characters."""
-    symbol = lambda at: F.instr(F.lit(ALPHABET), at)
-    start = F.struct(F.lit(0.0).alias("sum"), F.instr(F.lit(ALPHABET), F.substring(token, 1, 1)).alias("last"))
+    """The log-likelihood ratio of a token: the sum over its pairs of characters.
+
+    A token is taken apart by pieces, so that a long one costs no more a character than a short one.
+    """
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last"))
+
+    def step(at: Column, char: Column) -> Column:
+        now = F.instr(F.lit(ALPHABET), char)
+        more = F.when(at["last"] >= 0, F.get(table, at["last"] * STATES + now)).otherwise(F.lit(0.0))
+        return F.struct((at["sum"] + more).alias("sum"), now.alias("last"))
+
+    pieces = F.regexp_extract_all(token, F.lit("(?s).{1,1024}"), F.lit(0))
+    chars = lambda piece: F.regexp_extract_all(piece, F.lit("(?s)."), F.lit(0))
+    return F.aggregate(pieces, start, lambda at, piece: F.aggregate(chars(piece), at, step), lambda at: at["sum"])
+
+
+#: Lengths that are added up one by one; sums over such runs are added up apart.
+RUN = 256
 
-    def step(at: Column, i: Column) -> Column:
-        now = symbol(F.substring(token, i, F.lit(1)))
-        return F.struct((at["sum"] + F.get(table, at["last"] * STATES + now)).alias("sum"), now.alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(token)), start, step, lambda at: at["sum"])
+def running_sums(lengths: Column) -> Column:
+    """The sum of an array of numbers up to each of them, by runs, so that no long array is copied for each."""
+    none = F.expr("cast(array() as array<int>)")
+    last = lambda sums: F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0))
+    append = lambda sums, x: F.concat(sums, F.array(last(sums) + x))
+
+    def apart(all_of: Column) -> Column:
+        count = F.ceil(F.size(all_of) / RUN).cast("int")
+        begin = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(none)
+        return F.transform(begin, lambda k: F.aggregate(F.slice(all_of, k * RUN + 1, RUN), none, append))
+
+    def joined(each: Column) -> Column:
+        ends = F.aggregate(each, F.array(F.lit(0)), lambda sums, run: append(sums, last(run)))
+        return _let(ends, lambda e: F.flatten(F.transform(each, lambda run, k: F.transform(run, lambda x: x + F.get(e, k)))))
+
+    return _let(_let(lengths, apart), joined)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -132,19 +167,26 @@ def matches(text: Column, pattern: str) -> Column:
 
     What stands between matches and the matches themselves alternate, so lengths add up to places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-
-    def step(so_far: Column, i: Column) -> Column:
-        begin = so_far["at"] + F.length(F.get(between, i))
-        end = begin + F.length(F.get(found, i))
-        return F.struct(
-            end.alias("at"), F.concat(so_far["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans")
-        )
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+
+    def spans(t: Column) -> Column:
+        ends = running_sums(F.zip_with(t["found"], F.slice(t["between"], F.lit(1), F.size(t["found"])), lambda x, y: x + y))
+        return F.zip_with(ends, t["found"], lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
+
+    return _let(F.struct(found.alias("found"), between.alias("between")), spans)
 
-    spans = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda so_far: so_far["spans"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+
+def _touches(spans: Column, s: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in order and don't overlap: by halving."""
+
+    def step(below: Column, power: Column) -> Column:
+        k = below + F.call_function("shiftleft", F.lit(1), power)
+        return F.when((k <= F.size(spans)) & (F.get(spans, k - 1)["start"] < s["end"]), k).otherwise(below)
+
+    powers = F.sequence(F.ceil(F.log2(F.size(spans) + 1)).cast("int"), F.lit(0), F.lit(-1))
+    before = F.aggregate(powers, F.lit(0), step)  # how many begin before the span ends
+    return _let(before, lambda k: F.when(k > 0, F.get(spans, k - 1)["end"] > s["start"]).otherwise(False))
 
 
 def _joined(spans: Column) -> Column:
@@ -164,21 +206,25 @@ def scan(docs: DataFrame, table: list[float], odds: float = ODDS) -> DataFrame:
     text = F.col("text")
     ratios = F.split(F.lit(",".join(f"{x:.3f}" for x in table)), ",").cast("array<double>")
     rows = docs.select("doc_id", F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+
+    def with_text(pattern: str, group: int) -> Column:
+        spoken = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        return F.zip_with(matches(text, pattern), spoken, lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), x.alias("text")))
+
+    long_enough = F.filter(with_text(ASSIGN, 2), lambda s: F.length(s["text"]) >= 6)
     rows = rows.withColumns(
-        {"_access": matches(text, ACCESS), "_hex": matches(text, HEX), "_tokens": matches(text, TOKEN),
-         "_assign": matches(text, ASSIGN), "_values": F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))}
-    )
-    rows = rows.withColumn("_assign", F.filter(F.col("_assign"), lambda s, i: F.length(F.get(F.col("_values"), i)) >= 6))
-    rows = rows.withColumn(
-        "_base", F.concat(*[_kind(F.col(f"_{name}"), i) for i, name in enumerate(KINDS[:3])])
+        {"_access": matches(text, ACCESS), "_hex": matches(text, HEX), "_assign": long_enough, "_tokens": with_text(TOKEN, 0)}
     )
 
-    def added(s: Column) -> Column:
-        token = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        free = ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return free & (log_ratio(token, ratios) >= odds)
+    def added(all_of: Column) -> Column:
+        free = lambda s: ~reduce(lambda a, b: a | b, [_touches(all_of[name], s) for name in KINDS[:3]])
+        likely = lambda s: F.when(free(s), log_ratio(s["text"], all_of["ratios"]) >= odds).otherwise(False)
+        return F.filter(all_of["tokens"], likely)
 
-    rows = rows.withColumn("_markov", F.filter(F.col("_tokens"), added))
+    # what the test of a token reads is bound once for a text
+    bound = F.struct(F.col("_tokens").alias("tokens"), ratios.alias("ratios"), *[F.col(f"_{name}").alias(name) for name in KINDS[:3]])
+    rows = rows.withColumn("_base", F.concat(*[_kind(F.col(f"_{name}"), i) for i, name in enumerate(KINDS[:3])]))
+    rows = rows.withColumn("_markov", _let(bound, added))
     count = lambda name: F.size(f"_{name}").cast("long").alias(f"n_{name}")
     return rows.select(
         "doc_id",
