@@ -33,7 +33,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         n = len(text)
         self.suffixes = self._sort(text, depth)
-        last = text[self.suffixes - 1]
+        last = text[self.suffixes - 1].astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max(initial=0)) + 1))])
         self.levels: list[PackedBits] = []
         self.bits = max(1, int(text.max(initial=0)).bit_length())
@@ -53,7 +53,7 @@ class FMIndex:
             pair = rank * (int(rank.max(initial=0)) + 2) + after
             _, rank = np.unique(pair, return_inverse=True)
             size *= 2
-        return np.argsort(rank, kind="stable")
+        return np.argsort(rank, kind="stable").astype(np.int32)
 
     def _occurrences(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands in the transformed text before each place."""

@@ -3,7 +3,7 @@
 A window is ``WINDOW`` consecutive words. Its anchor is the least hash among its runs of
 ``ANCHOR`` words, so equal windows have equal anchors wherever they stand. Windows next to each
 other with one anchor form a segment. Segments whose anchor occurs more than once go, as word
-hashes, to the shard of their anchor. A shard dedupes equal segments, builds a compressed
+hashes, to the shard of their anchor; of equal ones in a task only the first. A shard merges equal segments, builds a compressed
 FM-index of the rest and streams them through it: backward search over the wavelet matrix gives
 the interval of every window that occurs again, and the earliest place in it.
 
@@ -13,6 +13,7 @@ anchor gathers in one task; equal ones are combined before the shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,8 +116,17 @@ def _rows(key, ids, versions, start, windows, content) -> pa.RecordBatch:
     )
 
 
+#: Distinct segments that a task remembers at once, each by 16 bytes and its least place.
+REMEMBERED = 100_000
+
+
 def _segments(batches: Iterator[pa.RecordBatch], again: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The segments of repeated anchors. One that an earlier row of the slice has too gets no words."""
+    """The segments of repeated anchors. One that an earlier row of the task has too is decided here.
+
+    It gets no words, and a key of its own row, so that the copies of a passage neither travel
+    nor meet in one shard: a shard gets the least of each task.
+    """
+    seen: dict[bytes, tuple[int, int]] = {}
     for batch in text_slices(batches):
         words, rows = _words(batch)
         first, count, anchor = anchors(words, rows)
@@ -142,13 +152,18 @@ def _segments(batches: Iterator[pa.RecordBatch], again: np.ndarray, often: np.nd
             raw[a * WORD_BYTES : (a + c + WINDOW - 1) * WORD_BYTES]
             for a, c in zip(begin.tolist(), count.tolist(), strict=True)
         ]
-        seen: dict[bytes, tuple[int, int]] = {}
-        own = ids[row]
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        own, key = ids[row], key.view(np.int64)
         for i in np.lexsort((start, own)).tolist():
-            at = (int(own[i]), int(start[i]))
-            if seen.setdefault(content[i], at) < at:
+            at, name = (int(own[i]), int(start[i])), hashlib.blake2b(content[i], digest_size=16).digest()
+            least = seen.setdefault(name, at)
+            if least < at:
                 content[i] = None
-        yield _rows(key.view(np.int64), ids[row], versions[row], start, count, content)
+                key[i] = hash((at, int(key[i])))
+            else:
+                seen[name] = at
+        yield _rows(key, own, versions[row], start, count, content)
 
 
 def _symbols(content: bytes) -> np.ndarray:
@@ -164,7 +179,7 @@ def repeated_windows(segments: list[tuple[int, int, int, bytes]]) -> Iterator[tu
     begin = np.cumsum(lengths + 1) - lengths
     flat = np.concatenate(parts)
     _, dense = np.unique(flat, return_inverse=True)
-    text = np.zeros(int((lengths + 1).sum()) + 1, np.int64)
+    text = np.zeros(int((lengths + 1).sum()) + 1, np.int32)
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths)
     text[inside] = dense + 1
     segment = np.repeat(np.arange(len(parts)), lengths)
@@ -174,7 +189,7 @@ def repeated_windows(segments: list[tuple[int, int, int, bytes]]) -> Iterator[tu
     sort = np.lexsort((word, ids))
     new = np.ones(len(sort), bool)
     new[1:] = (np.diff(ids[sort]) != 0) | (np.diff(word[sort]) != 0)
-    order = np.full(len(text), np.iinfo(np.int64).max)
+    order = np.full(len(text), np.iinfo(np.int32).max, np.int32)
     order[inside[sort]] = np.cumsum(new)
 
     index = FMIndex(text, WINDOW)
@@ -187,7 +202,7 @@ def repeated_windows(segments: list[tuple[int, int, int, bytes]]) -> Iterator[tu
     lows, back = np.unique(low[some], return_inverse=True)
     highs = np.zeros(len(lows), np.int64)
     highs[back] = high[some]
-    sorted_order = np.append(order[index.suffixes], np.iinfo(np.int64).max)
+    sorted_order = np.append(order[index.suffixes], np.int32(np.iinfo(np.int32).max))
     least = np.minimum.reduceat(sorted_order, np.ravel(np.column_stack([lows, highs])))[::2]
     flagged = np.sort(opens[some[least[back] < order[opens[some]]]])
     cut = np.flatnonzero(np.diff(flagged) != 1) + 1
@@ -214,6 +229,9 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("key", "id", "version", "start", "windows", "words")]
         for k, i, version, start, windows, words in zip(*columns, strict=True):
+            if words is None:  # decided where it was read
+                out.append((i, version, start, windows))
+                continue
             if k != key:
                 if len(held) > 1:
                     groups += held
@@ -222,7 +240,7 @@ def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size > INDEX_WORDS:
                     out += repeated_windows(groups)
                     groups, size = [], 0
-            if words is None or seen.setdefault(words, (i, start)) < (i, start):
+            if seen.setdefault(words, (i, start)) < (i, start):
                 out.append((i, version, start, windows))
             else:
                 held.append((i, version, start, words))
