@@ -19,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import checkpoint, lookup, text_buffers, text_slices
+from .common import checkpoint, lookup, saved, text_buffers, text_slices
 
 #: Labelled documents that are learned from, chosen by a hash of their ids.
 MOST_LABELLED = 8_000
 DIMS = 1 << 18
 #: Words in fewer labelled documents, or with less evidence of a bad one (log of how much
 #: likelier they are there), count for nothing: what is left is hardly ever there by chance.
-LEAST_DOCUMENTS = 8
+#: Where few documents are labelled as bad, a quarter of their number is asked for, three at least.
+LEAST_DOCUMENTS = (3, 8)
 LEAST_EVIDENCE = 3.0
 REJECT = 0.5
 HEADS = ("low", "toxic")
@@ -75,12 +76,15 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return features, pairs % DIMS, pairs // DIMS
 
 
-def _inputs(model: Model, features: np.ndarray, dims: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _standardised(features: np.ndarray, mean: np.ndarray, deviation: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """Standardised features, then for each head the most telling words' evidence, then one."""
-    n = len(features)
-    z = np.clip((features - model.mean) / model.deviation, -6, 6)
-    sums = [np.clip(np.bincount(rows, w[dims], minlength=n), -25, 25) / 5 for w in model.words]
-    return np.column_stack([z, z[:, :6] ** 2 / 4, *sums, np.ones(n)])
+    z = np.clip((features - mean) / deviation, -6, 6)
+    return np.column_stack([z, z[:, :6] ** 2 / 4, np.clip(sums, -25, 25) / 5, np.ones(len(features))])
+
+
+def _inputs(model: Model, features: np.ndarray, dims: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    sums = np.column_stack([np.bincount(rows, w[dims], minlength=len(features)) for w in model.words])
+    return _standardised(features, model.mean, model.deviation, sums)
 
 
 def evidence(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -154,20 +158,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
             with_bad = (bad + 0.5) / (float(whole[head].sum()) + 1)
             with_good = (n - bad + 0.5) / (every - float(whole[head].sum()) + 1)
             ratio = np.log(with_bad / with_good)
-            out[i] = np.where((n >= LEAST_DOCUMENTS) & (ratio >= LEAST_EVIDENCE), ratio, 0)
+            least = np.clip(float(whole[head].sum()) / 4, *LEAST_DOCUMENTS)
+            out[i] = np.where((n >= least) & (ratio >= LEAST_EVIDENCE), ratio, 0)
         return out
 
-    sample = read_rows.toPandas()  # at most ``most`` rows of distinct hashed words
-    x = np.stack(sample["x"].to_numpy())
+    # a document's words are weighed by the other fold's counts, in tasks: what comes back is a
+    # row of a few numbers for each of at most ``most`` documents
+    shared = docs.sparkSession.sparkContext.broadcast([words([1]), words([0])])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [
+                [float(w[np.asarray(d, np.int64)].sum()) for w in shared.value[fold]]
+                for fold, d in zip(batch.column("fold").to_pylist(), batch.column("dims").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in (*HEADS, "x")], pa.array(sums, pa.list_(pa.float64()))], names=[*HEADS, "x", "sums"]
+            )
+
+    sample = read_rows.mapInArrow(weigh, "low int, toxic int, x array<double>, sums array<double>").toPandas()
+    shared.destroy()
+    x, sums = np.stack(sample["x"].to_numpy()), np.stack(sample["sums"].to_numpy())
     mean, deviation = x.mean(0), x.std(0) + 1e-6
-    inputs = np.zeros((len(sample), x.shape[1] + 6 + len(HEADS) + 1))
-    for fold in (0, 1):  # a document's words are weighed by the other fold's counts
-        own = np.flatnonzero(sample["fold"] == fold)
-        dims = sample["dims"].iloc[own]
-        flat = np.concatenate([np.asarray(d, np.int64) for d in dims]) if len(own) else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(own)), [len(d) for d in dims])
-        part = Model(words([1 - fold]), mean, deviation, np.zeros(0), np.zeros(0))
-        inputs[own] = _inputs(part, x[own], flat, owner)
+    inputs = _standardised(x, mean, deviation, sums)
     weights, base = [], []
     for head in HEADS:
         y = sample[head].to_numpy(float)
@@ -219,19 +232,17 @@ def posteriors(scored: DataFrame) -> DataFrame:
     return joined.withColumn("weight", F.lit(w))
 
 
-def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``docs``, ``_host, _path``, and ``_low, _toxic``: log Bayes factors."""
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, _version, _host, _path, _low, _toxic``: the row (id and hash of its text), site and log Bayes factors."""
     host, path = site(docs)
-    read = "text" if "text" in carry else "_text"
-    extra = [] if read in carry else [F.col("text").cast("string").alias("_text")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in carry], host.alias("_host"), path.alias("_path"), *extra)
+    rows = docs.select("doc_id", version().alias("_version"), host.alias("_host"), path.alias("_path"), F.col("text").cast("string").alias("_text"))
     if model is None:
         return rows.drop("_text").withColumns({"_low": F.lit(0.0), "_toxic": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, read):
-            factor = evidence(shared.value, *text_buffers(batch.column(read)))
+        for batch in text_slices(batches, "_text"):
+            factor = evidence(shared.value, *text_buffers(batch.column("_text")))
             names = [c for c in batch.schema.names if c != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in names], pa.array(factor[:, 0]), pa.array(factor[:, 1])], names=[*names, "_low", "_toxic"]
@@ -241,40 +252,75 @@ def score(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
     return rows.mapInArrow(weigh, f"{kept}, _low double, _toxic double")
 
 
+def version() -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _chance(log_odds: Column) -> Column:
     return 1 / (1 + F.exp(-log_odds))
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, reject: float = REJECT) -> DataFrame:
-    """``carry`` columns of ``docs`` (default: all) with ``p_low, p_toxic, site_rate, p_bad, rejected``.
+def judge(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
+    """``doc_id, _version`` (see :func:`version`) with ``p_low, p_toxic, site_rate, p_bad, rejected``, a row for each.
 
-    ``docs`` needs ``doc_id, text`` and may have ``url``, or ``source`` and ``lang``; ``labels``
-    needs ``doc_id, quality, toxic``. ``p_low`` and ``p_toxic`` are the document classifier's
-    own, ``site_rate`` is the shrunk share of bad documents among the path's others, ``p_bad``
-    combines them and ``rejected`` says that it is over ``reject``. Columns of these names are
-    replaced. A null text counts as empty, a null host or path as "". A label repeated for an id
-    counts once, as bad if any is. If a class has no labelled document in either half of the
-    sample, nothing is rejected. Repeated rows each count and each get a row.
+    See :func:`classify`. Each text is read and scored once; what is kept of it are two numbers.
     """
-    made = ("p_low", "p_toxic", "site_rate", "p_bad", "rejected")
-    names = [c for c in (carry if carry is not None else docs.columns) if c not in made]
     model = train(docs, labels)
     base = model.base if model is not None else np.array([-20.0, -20.0])
     low, toxic = _chance(F.col("_low") + float(base[0])), _chance(F.col("_toxic") + float(base[1]))
-    bad = 1 - (1 - low) * (1 - toxic)
-    sites = posteriors(score(docs, model, []).select("_host", "_path", bad.alias("_bad")))
-    table = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "n", "bad", "prior", "weight")
-    table = table.toDF("_h", "_p", "_n", "_s", "_prior", "_weight")
+    site_key = [F.xxhash64("_host", "_path").alias("_s1"), F.xxhash64(F.lit(1), "_path", "_host").alias("_s2")]
+    scored = saved(score(docs, model).withColumn("_bad", 1 - (1 - low) * (1 - toxic)))
+    sites = posteriors(scored.select("_host", "_path", "_bad"))
+    table = sites.select(*site_key, F.col("n").alias("_n"), F.col("bad").alias("_s"), F.col("prior").alias("_prior"), F.col("weight").alias("_weight"))
+    bad = F.col("_bad")
     site_rate = (F.greatest(F.col("_s") - bad, F.lit(0.0)) + F.col("_weight") * F.col("_prior")) / (F.col("_n") - 1 + F.col("_weight"))
     overall = float(1 - np.prod(1 / (1 + np.exp(base))))
     shift = F.log(F.col("site_rate") / (1 - F.col("site_rate"))) - float(np.log(overall / (1 - overall)))
-    own = F.log(F.col("_bad") / (1 - F.col("_bad")))
+    certain = F.least(F.greatest(bad, F.lit(1e-9)), F.lit(1 - 1e-9))
     return (
-        score(docs, model, names)
-        .join(lookup(table), (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")))
-        .withColumns({"p_low": low, "p_toxic": toxic, "_bad": F.least(F.greatest(bad, F.lit(1e-9)), F.lit(1 - 1e-9)),
-                      "site_rate": F.least(F.greatest(site_rate, F.lit(1e-6)), F.lit(1 - 1e-6))})
-        .withColumn("p_bad", _chance(own + shift))
+        scored.select("*", *site_key)
+        .join(lookup(table), ["_s1", "_s2"])
+        .withColumns({"p_low": low, "p_toxic": toxic, "site_rate": F.least(F.greatest(site_rate, F.lit(1e-6)), F.lit(1 - 1e-6))})
+        .withColumn("p_bad", _chance(F.log(certain / (1 - certain)) + shift))
         .withColumn("rejected", F.col("p_bad") > reject)
-        .select(*[F.col(f"`{c}`") for c in names], *made)
-    )
+        .select("doc_id", "_version", *MADE)
+    )
+
+
+MADE = ("p_low", "p_toxic", "site_rate", "p_bad", "rejected")
+
+
+def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, reject: float = REJECT) -> DataFrame:
+    """``carry`` columns of ``docs`` (default: all) with ``p_low, p_toxic, site_rate, p_bad, rejected``.
+
+    ``docs`` needs ``doc_id, text`` and may have ``url``, or ``source`` and ``lang``; ``labels``
+    needs ``doc_id, quality, toxic``. ``p_low`` and ``p_toxic`` are the document classifier's
+    own, ``site_rate`` is the shrunk share of bad documents among the path's others, ``p_bad``
+    combines them and ``rejected`` says that it is over ``reject``. Columns of these names are
+    replaced. A null text counts as empty, a null host or path as "". A label repeated for an id
+    counts once, as bad if any is. If a class has no labelled document in either half of the
+    sample, nothing is rejected. Repeated rows each count and each get a row; those of one id
+    and text that stand on different sites get the verdict of the least bad.
+    """
+    names = [c for c in (carry if carry is not None else docs.columns) if c not in MADE]
+    judged = judge(docs, labels, reject)
+    if names == ["doc_id"]:
+        return judged.select("doc_id", *MADE)
+    one = judged.groupBy(F.col("doc_id").alias("_id"), F.col("_version").alias("_v")).agg(
+        F.min(F.struct("p_bad", *[c for c in MADE if c != "p_bad"])).alias("_of")
+    )
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col("doc_id").alias("_doc"), version().alias("_version"))
+    return rows.join(one, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_v"))).select(
+        *[F.col(f"`{c}`") for c in names], *[F.col(f"_of.{c}").alias(c) for c in MADE]
+    )
+
+
+def without_bad(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
+    """``docs`` without rejected documents, with its own columns; see :func:`classify`.
+
+    Only ids and hashes of rejected rows are joined, so texts don't move if those are few.
+    """
+    judged = judge(docs, labels, reject).groupBy("doc_id", "_version").agg(F.min("rejected").alias("rejected"))
+    bad = checkpoint(judged.where("rejected").select(F.col("doc_id").alias("_bad_id"), F.col("_version").alias("_bad_version")))
+    return docs.join(lookup(bad), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (version() == F.col("_bad_version")), "left_anti")
