@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set a local one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Use the cluster's shared folder. Where none is named, a local run gets a folder of its own and a cluster an error."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="memloom-"))
+        if named is None and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="memloom-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

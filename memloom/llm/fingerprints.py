@@ -185,6 +185,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 "edited_fingerprint": pa.array(names[n : 2 * n]),
                 "near_edited": pa.array(likeness(part(0), part(1), n)),
                 "near_next": pa.array(likeness(part(0), part(2), n)),
+                "edited_at": pa.array([[f"{s}.{p}" for s, p in edits(a, b)] for a, b in zip(names[:n], names[n : 2 * n], strict=True)], pa.list_(pa.string())),
             }
         )
 
@@ -214,7 +215,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id, n_chars, edited_sha256``, two fingerprints and two likenesses.
+    """Per row: ``doc_id, n_chars, edited_sha256``, two fingerprints, two likenesses, ``edited_at``.
+
+    ``edited_at`` names the paragraphs (section and paragraph, from 0) in which the text differs
+    from the edited one, found by following the differing branches of the two trees.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. The edited text is the
     text with its last quarter of code points replaced by as many (or all) from the start of
@@ -225,5 +229,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(
         _fingerprints,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
+        "near_edited double, near_next double, edited_at array<string>",
     )

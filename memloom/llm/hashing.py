@@ -17,6 +17,9 @@ _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 #: Everything but ASCII letters and the bytes of other letters, for words without punctuation.
 NOT_LETTERS = np.ones(256, bool)
 NOT_LETTERS[65:91] = NOT_LETTERS[97:123] = NOT_LETTERS[128:] = False
+#: Everything but those and digits.
+NOT_ALPHANUMERIC = NOT_LETTERS.copy()
+NOT_ALPHANUMERIC[48:58] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -53,6 +56,15 @@ def word_bounds(
     return starts, ends, rows
 
 
+def _places(at: np.ndarray) -> np.ndarray:
+    """A random odd number for each place; beyond the table it is drawn anew for each round of it."""
+    out = _PLACE[at & 4095]
+    far = at > 4095
+    if far.any():
+        out[far] = mix(out[far] + (at[far] >> 12).astype(np.uint64)) | np.uint64(1)
+    return out
+
+
 def word_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False
 ) -> np.ndarray:
@@ -67,7 +79,7 @@ def word_hashes(
     if lower:
         spelled = _LOWER[spelled]
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[spelled] * _PLACE[at & 4095], begin)
+        sums = np.add.reduceat(_BYTE[spelled] * _places(at), begin)
         return mix(sums + lengths.astype(np.uint64))
 
 
@@ -86,5 +98,4 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def sequence_hash(words: np.ndarray) -> int:
     """A hash of a whole sequence of words, of any length."""
     with np.errstate(over="ignore"):
-        places = _PLACE[np.arange(len(words)) & 4095]
-        return int(mix(np.array([(words * places).sum() + np.uint64(len(words))], np.uint64))[0])
+        return int(mix(np.array([(words * _places(np.arange(len(words)))).sum() + np.uint64(len(words))], np.uint64))[0])

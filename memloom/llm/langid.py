@@ -18,8 +18,8 @@ from .common import checkpoint, text_buffers, text_slices
 
 DIMS = 1 << 13
 ORDERS = (1, 2, 3)
-#: More languages than this are refused: the matrix is broadcast, and this bounds it to 8 MB.
-MOST_LANGUAGES = 250
+#: Languages in one matrix, which bounds a broadcast to 8 MB; more take more passes over a text.
+LANGUAGES_AT_ONCE = 250
 UNKNOWN = "und"
 SMOOTHING = 0.5
 #: Bytes of text scored at once.
@@ -33,11 +33,19 @@ def held_out(key: Column) -> Column:
 
 
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of UTF-8 bytes, and the byte at which each begins."""
+    """Lower-cased code points of UTF-8 bytes, and the byte at which each begins.
+
+    Bytes that aren't UTF-8 give some code point or other, never an error.
+    """
     begin = np.flatnonzero((data & 0xC0) != 0x80)
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+    lead = data[begin].astype(np.uint32)
+    points = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, lead & 0x1F, lead & 0x0F], lead & 0x07)
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        more = data[np.minimum(begin + k, len(data) - 1)].astype(np.uint32) & 0x3F
+        points = np.where(lead >= least, (points << 6) | more, points)
+    points = np.where(points > 0x10FFFF, 0xFFFD, points)
     upper = ((points >= 65) & (points <= 90)) | ((points >= 0xC0) & (points <= 0xDE) & (points != 0xD7))
-    return np.where(upper, points + 32, points).astype(np.uint32), begin[: len(points)]
+    return np.where(upper, points + 32, points).astype(np.uint32), begin
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -95,8 +103,8 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nda
         row = end
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages and their matrix of log-probabilities, from all rows of ``text, lang``."""
+def train(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """The languages, and how often each has each n-gram (``lang, gram, n``), from all rows of ``text, lang``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -125,22 +133,30 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = checkpoint(
         known.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     )
-    langs = sorted(r["lang"] for r in rows.where("gram = -1").limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return sorted(r["lang"] for r in rows.where("gram = -1").select("lang").collect()), rows.where("gram >= 0")
+
+
+def log_matrix(langs: list[str], rows: DataFrame) -> np.ndarray:
+    """Log-probabilities of the n-grams (first axis) in some languages."""
     counts = np.zeros((len(langs), DIMS))
     place = {lang: i for i, lang in enumerate(langs)}
-    cells = rows.where("gram >= 0").toPandas()  # at most languages times DIMS
+    cells = rows.where((F.col("lang") >= langs[0]) & (F.col("lang") <= langs[-1])).toPandas()  # at most languages times DIMS
+    cells = cells[cells["lang"].isin(place)]
     if len(cells):
         counts[cells["lang"].map(place).to_numpy(int), cells["gram"].to_numpy(int)] = cells["n"].to_numpy(float)
     smooth = counts + SMOOTHING
-    return langs, np.log(smooth / smooth.sum(1, keepdims=True)) if langs else counts
+    return np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T, np.float32)
 
 
 def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; see :func:`identify`."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.ascontiguousarray(logs.T, np.float32))
+    """``docs`` with ``lang_pred``, ``_top`` and ``_rest``, the best of these languages and those before.
+
+    ``_top`` is the best sum of log-probabilities, ``_rest`` the sum of all likelihoods over it;
+    columns of these names, from a pass over other languages, are taken up.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    made = ("lang_pred", "_top", "_rest")
+    first = "_top" not in docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = shared.value
@@ -154,23 +170,27 @@ def predict(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
                 pair, n = np.unique(owner * DIMS + gram, return_counts=True)
                 own = pair // DIMS
                 if len(pair):
-                    first = np.flatnonzero(np.diff(own, prepend=-1))
-                    part = np.add.reduceat(matrix[pair % DIMS] * n[:, None], first, axis=0)
-                    sums[row + own[first]] += part
-            if matrix.shape[1]:
-                best = sums.argmax(1)
-                p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
-            else:
-                best, p, has[:] = np.zeros(len(sums), int), np.zeros(len(sums)), False
+                    begin = np.flatnonzero(np.diff(own, prepend=-1))
+                    part = np.add.reduceat(matrix[pair % DIMS] * n[:, None], begin, axis=0)
+                    sums[row + own[begin]] += part
+            best, top = sums.argmax(1), sums.max(1)
+            rest = np.where(has, np.exp(sums - top[:, None]).sum(1), np.inf)
             names = [langs[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+            if not first:
+                before, total = (batch.column(c).to_numpy() for c in made[1:])
+                old = batch.column("lang_pred").to_pylist()
+                names = [o if keep else new for o, new, keep in zip(old, names, (before >= top).tolist(), strict=True)]
+                highest = np.maximum(before, top)
+                rest = total * np.exp(before - highest) + rest * np.exp(top - highest)
+                top = highest
+            kept = [c for c in batch.schema.names if c not in made]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"],
-                 pa.array(names, pa.string()), pa.array(np.where(has, p, 0.0), pa.float64())],
-                names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"],
-            )
+                [*[batch.column(c) for c in kept], pa.array(names, pa.string()), pa.array(top, pa.float64()), pa.array(rest, pa.float64())],
+                names=[*kept, *made],
+            )
 
-    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(score, f"{carried}, lang_pred string, score double")
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in made)
+    return docs.mapInArrow(score, f"{carried}, lang_pred string, _top double, _rest double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -185,5 +205,11 @@ def identify(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").withColumn(
         "held_out", held_out(F.col("doc_id"))
     )
-    langs, logs = train(rows.where(~F.col("held_out")))
-    return predict(rows.select("doc_id", "held_out", "text"), langs, logs)
+    langs, counts = train(rows.where(~F.col("held_out")))
+    out = rows.select("doc_id", "held_out", "text")
+    if not langs:
+        return out.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for k in range(0, len(langs), LANGUAGES_AT_ONCE):
+        own = langs[k : k + LANGUAGES_AT_ONCE]
+        out = predict(out, own, log_matrix(own, counts))
+    return out.select("doc_id", "held_out", "lang_pred", (1 / F.col("_rest")).alias("score"))

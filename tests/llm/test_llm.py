@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -517,3 +518,138 @@ def test_pipeline(spark):
     assert len(left & set(clean)) > 0.6 * len(clean)
     mixed = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in mixed.collect()} <= left
+
+
+MARKOV = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+
+
+def test_markov_spans_are_those_of_plain_code(spark):
+    rng = random.Random(12)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    pieces = ["".join(rng.choice(chars) for _ in range(rng.randint(20, 40))) for _ in range(12)] + secrets.identifier_samples()[:12]
+    pieces += ["deadbeef" * 3, "AKIA" + "B7" * 9, "password=" + "q" * 30, "é 🎈", "plain words", "x" * 25]
+    texts = {i: " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for i in range(40)} | {90: None, 91: ""}
+    df = docs_of(spark, texts)
+    table = [float(f"{x:.3f}") for x in secrets.train(secrets.labelled_samples(df))]
+
+    def ratio(token):
+        at = [secrets.ALPHABET.find(c) + 1 for c in token]
+        return sum(table[a * secrets.STATES + b] for a, b in zip(at, at[1:]))
+
+    some = 0
+    for r in secrets.scan(df, table).collect():
+        t = texts[r["doc_id"]] or ""
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        base = [(int(a), int(b)) for kind, a, b in spans if kind != "markov"]
+        free = [m for m in MARKOV.finditer(t) if not any(a < m.end() and m.start() < b for a, b in base)]
+        want = {(m.start(), m.end()) for m in free if ratio(m.group()) >= secrets.ODDS}
+        assert {(int(a), int(b)) for kind, a, b in spans if kind == "markov"} == want
+        some += len(want)
+    assert some > 10
+
+
+def test_secret_scan_of_long_tokens_and_of_many(spark):
+    rng = random.Random(13)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    long = "".join(rng.choice(chars) for _ in range(1_000_000))
+    many = " ".join("".join(rng.choice(chars) for _ in range(25)) for _ in range(50_000))
+    keys = "api_key=abcdef123456 " * 20_000
+    rows = [(1, long), (2, many), (3, keys), (None, "token: abcdefgh"), (1, long)]
+    df = docs_of(spark, rows).withColumn("spans", F.lit("clash"))
+    table = secrets.train(secrets.labelled_samples(docs_of(spark, {1: "plain words of a text here"})))
+    begun = time.time()
+    got = sorted((str(r["doc_id"]), r["n_markov"], r["n_assign"]) for r in secrets.scan(df, table).select("doc_id", "n_markov", "n_assign").collect())
+    assert time.time() - begun < 90
+    assert [g for g in got if g[0] != "2"] == [("1", 1, 0), ("1", 1, 0), ("3", 0, 20_000), ("None", 0, 1)]
+    assert [g[1] for g in got if g[0] == "2"][0] > 45_000
+
+
+def test_running_sums(spark):
+    rng = random.Random(14)
+    for n in (0, 1, 255, 256, 257, 1000):
+        x = [rng.randrange(50) for _ in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<int>").select(secrets.running_sums(F.col("x")).alias("y"))
+        assert df.first()["y"] == list(itertools.accumulate(x))
+
+
+def test_no_link_at_the_border_is_lost_by_bands_or_estimates():
+    """Pairs of sets whose index is exactly 0.75: all share a band and none is taken as far off."""
+    rng = np.random.default_rng(5)
+    for union in (8, 20, 40, 100, 400, 2000):
+        for _ in range(60):
+            pool = rng.integers(0, 2**64, union, dtype=np.uint64)
+            both = union * 3 // 4
+            cut = both + (union - both) // 2
+            sets = [np.unique(np.concatenate([pool[:both], pool[both:cut]])), np.unique(np.concatenate([pool[:both], pool[cut:]]))]
+            r = minhash.registers(sets)
+            bands = r[:, : minhash.BANDS * minhash.BAND].reshape(2, minhash.BANDS, minhash.BAND)
+            assert (bands[0] == bands[1]).all(1).any()
+            sizes = [np.array([float(len(s))]) for s in sets]
+            assert minhash.estimate([r[0].astype(">u2").tobytes()], [r[1].astype(">u2").tobytes()], *sizes)[0] >= minhash.FAR_OFF
+
+
+def test_languages_in_several_passes_and_bytes_that_are_no_text(spark, monkeypatch):
+    words = {f"l{k}": [a * 3 + b for a in "bcdfg" for b in chr(97 + k) * 2] for k in range(7)}
+    rng = random.Random(15)
+    rows = [(i, " ".join(rng.choice(words[f"l{i % 7}"]) for _ in range(20)), f"l{i % 7}", "s") for i in range(140)] + [(999, "12 !", None, "s")]
+    df = spark.createDataFrame(rows, DOCS)
+    once = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.identify(df).collect()}
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", 3)
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.identify(df).collect()} == once
+    assert once[999] == ("und", 0.0) and sum(once[i][0] == f"l{i % 7}" for i in range(140)) > 130
+    broken = np.array([0xFF, 0xC3, 65, 0xE4, 0xB8, 0x80, 0x80, 66], np.uint8)
+    langid.grams(broken, np.array([0, 3, 8]))
+    text = "Ünïcode ñ 🎈 中文 ABC"
+    assert "".join(map(chr, langid.code_points(np.frombuffer(text.encode(), np.uint8))[0])) == text.lower()
+
+
+def test_fingerprints_of_long_words_and_edits(spark):
+    long = ["a"] * 10_000
+    other = list(long)
+    long[10], other[10 + 4096] = "b", "b"
+    (x, y), _, _ = fingerprints.trees(["".join(long), "".join(other)])
+    assert x != y
+    rng = random.Random(16)
+    texts = {i: "\n".join(prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 12))) for i in range(30)}
+    order = sorted(texts)
+    for r in fingerprints.fingerprint_documents(docs_of(spark, texts).withColumn("edited_at", F.lit(1))).collect():
+        t, n = texts[r["doc_id"]], texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        cut = len(t) // 4
+        edited_text = t[: len(t) - cut] + n[:cut]
+        assert r["edited_sha256"] == hashlib.sha256(edited_text.encode()).hexdigest()
+        (a, b, c), codes, owner = fingerprints.trees([t, edited_text, n])
+        assert (a, b) == (r["fingerprint"], r["edited_fingerprint"])
+        bags = [Counter(codes[owner == k].tolist()) for k in range(3)]
+        for k, near in ((1, r["near_edited"]), (2, r["near_next"])):
+            assert abs(near - 2 * (bags[0] & bags[k]).total() / max((bags[0] + bags[k]).total(), 1)) < 1e-9
+        assert bool(r["edited_at"]) == (a != b) or a[33:] == b[33:]
+        assert r["edited_at"] == [f"{s}.{p}" for s, p in fingerprints.edits(a, b)]
+
+
+def test_leaks_of_numbers_each_span_and_long_items(spark):
+    rng = random.Random(17)
+    numbers = " ".join(str(rng.randrange(10**6)) for _ in range(20))
+    article = prose(rng, 1200)
+    question = [f"q{k}word" for k in range(20)]
+    first = " ".join(question[:15] + [f"other{k}" for k in range(5)])  # 0.75 of the words, no answer
+    second = " ".join(question[:3] + question[4:7] + question[12:20])  # 0.7 with the answer
+    texts = {i: prose(rng, 150) for i in range(60)}
+    apart = [" ".join(prose(rng, n).split()) for n in (50, 55, 59)]
+    texts |= {101: f"{texts[1]} {numbers} {texts[2]}", 102: f"{texts[3]} {article[: len(article) // 2]} {texts[4]}"}
+    texts |= {103: f"{texts[5]} {first} {texts[6]} {texts[7]} {texts[8]} {second} {apart[0]} {second} {apart[1]} {second} {apart[2]}"}
+    rows = [(1, numbers, None), (2, article, None), (3, " ".join(question), " ".join(question[15:]))]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string, answer string").withColumn("doc_id", F.lit("clash"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()}
+    assert got == {(101, 1), (102, 2), (103, 3)}
+
+
+def test_leaks_are_the_same_in_several_parts(spark, monkeypatch):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(2000)]
+    items = [(i, prose(rng, 20, vocabulary)) for i in range(12)]
+    texts = {i: f"{prose(rng, 60, vocabulary)} {items[i // 10][1] if i % 10 == 0 else ''} {prose(rng, 60, vocabulary)}" for i in range(120)}
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    once = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()}
+    assert once == {(i, i // 10) for i in range(0, 120, 10)}
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 5)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()} == once
