@@ -14,8 +14,7 @@ from memloom.llm.common import checkpoint, ensure_checkpoint_dir, lookup, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return scored.where(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.without_bad(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
