@@ -196,7 +196,8 @@ def _lines(texts: DataFrame) -> DataFrame:
     """
     plain = F.transform(F.split("text", "\n", -1), lambda x: F.lower(F.trim(x)))
     measured = F.transform(plain, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))
-    rows = texts.select("id", "version", F.posexplode(measured).alias("n", "_line"))
+    # there is always a line; a plain explode would have the lines made once more, to see whether there is one
+    rows = texts.select("id", "version", F.posexplode_outer(measured).alias("n", "_line"))
     return rows.select("id", "version", "n", "_line.line", "_line.chars")
 
 
@@ -262,13 +263,14 @@ def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], D
 
     def among(left: DataFrame) -> DataFrame:
         """A bucket is dealt to blocks by a hash, and each pair of blocks is one row of two arrays."""
-        rows = left.join(texts(left.select("node")), "node")
+        counted = texts(left.select("node")).withColumn("counts", _counts(F.col("line")))
+        rows = left.join(counted, "node")
         size = F.greatest(F.count("*") / BLOCK_LINES, F.sum(F.length("line")) / BLOCK_CHARS)
         blocks = rows.groupBy("bucket").agg(F.ceil(size).cast("int").alias("k"))
         dealt = saved(
             rows.join(blocks, "bucket")
             .groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
-            .agg(F.collect_list(F.struct("node", "component", "line", _counts(F.col("line")).alias("counts"))).alias("lines"))
+            .agg(F.collect_list(F.struct("node", "component", "line", "counts")).alias("lines"))
         )
         a = dealt.select("bucket", F.col("block").alias("i"), F.col("lines").alias("xs"))
         b = dealt.select("bucket", F.col("block").alias("j"), F.col("lines").alias("ys"))
@@ -346,8 +348,12 @@ def dedupe_lines(
         F.xxhash64(text).alias("_version"),
     ).join(removed, ["_id", "_version"], "left")
     lines = F.split(text, "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
-    left = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+
+    def without(each: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(each) - 1), F.col("_removed"))
+        return F.array_join(F.transform(places, lambda i: F.get(each, i)), "\n")
+
+    left = _let(lines, without)
     new = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(left)
     out = joined.withColumns(
         {
