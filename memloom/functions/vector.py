@@ -40,4 +40,6 @@ def pseudo_embedding(text: Column, dimensions: int) -> Column:
         )
     )
     raw = F.slice(words, 1, dimensions)
-    return F.transform(raw, lambda x: x / F.greatest(norm(raw), F.lit(1e-12)))
+    # the components, and then the norm, are bound once
+    sized = F.transform(F.array(raw), lambda v: F.struct(v.alias("v"), F.greatest(norm(v), F.lit(1e-12)).alias("n")))
+    return F.get(F.transform(sized, lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))

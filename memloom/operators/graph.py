@@ -1,7 +1,7 @@
 """Graph operators over ``src, dst`` (and ``weight``) edges, as joins and grouped sums.
 
-Loops only steer: each step is a join whose result is written to the checkpoint folder every few
-rounds, so that lineage stays short and a lost executor costs a step.
+Loops only steer: each step is a join whose result is written to the checkpoint folder, so that
+no step is computed twice, lineage stays short and a lost executor costs a step.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .ledger import saved
 
 DAMPING = 0.85
-SAVE_EVERY = 5
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -33,13 +32,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping:
         return nodes.select("id", F.lit(0.0).alias("rank"))
     linked = out.select(F.col("src").alias("id"), F.lit(True).alias("links"))
     ranks = saved(nodes.select("id").join(linked, "id", "left").select("id", F.coalesce("links", F.lit(False)).alias("links"), F.lit(1.0 / n).alias("rank")))
-    for k in range(1, iterations + 1):
+    for _ in range(iterations):
         dangling = ranks.where("NOT links").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d")).first()["d"]
         given = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
         base = (1 - damping) / n + damping * dangling / n
         new = ranks.join(given, "id", "left").select("id", "links", F.col("rank").alias("before"), (F.lit(base) + damping * F.coalesce("in", F.lit(0.0))).alias("rank"))
-        if k % SAVE_EVERY == 0 or tolerance is not None:
-            new = saved(new)
+        new = saved(new)
         if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] or 0) < tolerance:
             ranks = new.drop("before")
             break

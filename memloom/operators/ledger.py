@@ -6,6 +6,8 @@ time decides every view; nothing that arrives late is dropped.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,12 +99,16 @@ def lineage(events: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the session names; a folder of its own where none is."""
+    """``df`` written to the checkpoint folder that the session names.
+
+    Where none is named, a local run gets a folder of its own and a cluster an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memloom-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="memloom-"))
     return df.checkpoint()
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ledger import saved
 
 
 def phrase_index(phrases: DataFrame) -> DataFrame:
@@ -19,22 +20,50 @@ def without(index: DataFrame, memory_ids: DataFrame) -> DataFrame:
     return index.join(memory_ids.select("memory_id").distinct(), "memory_id", "left_anti")
 
 
-def lookup(messages: DataFrame, index: DataFrame, keys: list[str], column: str, broadcast_rows: int = 50_000) -> DataFrame:
+def _pieces(text: Column) -> Column:
+    """The distinct runs of one, two and three characters of a text."""
+    of = lambda k: F.when(
+        F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """``tenant_id, short, long``: texts of a tenant that stand somewhere in others, both sides distinct.
+
+    A contained text shares all its runs of three characters, so it is looked up by the one of
+    them that the fewest texts have (a text of one or two characters by itself) and then
+    verified. One of whose runs no text has is dropped at once.
+    """
+    indexed = long.select("tenant_id", "long", F.explode(_pieces(F.col("long"))).alias("piece"))
+    seen = indexed.groupBy("tenant_id", "piece").agg(F.count("*").alias("n"))
+    own = short.select("tenant_id", "short", F.filter(_pieces(F.col("short")), lambda p: F.length(p) == F.least(F.length("short"), F.lit(3))).alias("p"))
+    rarest = (
+        own.select("tenant_id", "short", F.size("p").alias("all"), F.explode("p").alias("piece"))
+        .join(seen, ["tenant_id", "piece"])
+        .groupBy("tenant_id", "short", "all")
+        .agg(F.min(F.struct("n", "piece")).alias("least"), F.count("*").alias("found"))
+        .where("found = all")
+        .select("tenant_id", "short", F.col("least.piece").alias("piece"))
+    )
+    return rarest.join(indexed, ["tenant_id", "piece"]).where(F.contains("long", F.col("short"))).select("tenant_id", "short", "long")
+
+
+def lookup(messages: DataFrame, index: DataFrame, keys: list[str], column: str) -> DataFrame:
     """``keys, phrase, memory_id, score``: 1.0 for a phrase among a message's words and pairs of
     words, else 0.7 for one that contains one of them or is contained in one; the best counts.
 
-    Each distinct n-gram of a tenant is looked up once. Equal ones are an equi-join. Containment
-    has no key, so the phrase list is sent to all tasks; it is checked to be short, and a longer
-    one is refused.
+    Each distinct n-gram of a tenant is looked up once, and all lookups are equi-joins.
     """
     grams = messages.select(*keys, "tenant_id", F.explode(T.ngrams(F.col(column))).alias("gram"))
-    distinct = grams.select("tenant_id", "gram").distinct()
-    exact = distinct.join(index, (distinct.tenant_id == index.tenant_id) & (distinct.gram == index.phrase)).select(
-        distinct.tenant_id, "gram", "phrase", "memory_id", F.lit(1.0).alias("score")
+    distinct = saved(grams.select("tenant_id", "gram").where("gram <> ''").distinct())
+    phrases = index.select("tenant_id", "phrase").distinct()
+    exact = distinct.join(phrases.withColumn("gram", F.col("phrase")), ["tenant_id", "gram"]).withColumn("score", F.lit(1.0))
+    within = contained(distinct.withColumnRenamed("gram", "short"), phrases.withColumnRenamed("phrase", "long"))
+    around = contained(phrases.withColumnRenamed("phrase", "short"), distinct.withColumnRenamed("gram", "long"))
+    near = within.select("tenant_id", F.col("short").alias("gram"), F.col("long").alias("phrase")).unionByName(
+        around.select("tenant_id", F.col("long").alias("gram"), F.col("short").alias("phrase"))
     )
-    if index.limit(broadcast_rows + 1).count() > broadcast_rows:
-        raise ValueError("the phrase index is too long for containment lookups; look up by equality")
-    inside = (distinct.tenant_id == index.tenant_id) & (F.contains("gram", index.phrase) | F.contains(index.phrase, distinct.gram))
-    near = distinct.join(F.broadcast(index), inside).select(distinct.tenant_id, "gram", "phrase", "memory_id", F.lit(0.7).alias("score"))
-    hits = exact.unionByName(near)
-    return grams.join(hits, ["tenant_id", "gram"]).groupBy(*keys, "phrase", "memory_id").agg(F.max("score").alias("score"))
+    best = exact.unionByName(near.withColumn("score", F.lit(0.7))).groupBy("tenant_id", "gram", "phrase").agg(F.max("score").alias("score"))
+    called = grams.join(best, ["tenant_id", "gram"]).groupBy(*keys, "tenant_id", "phrase").agg(F.max("score").alias("score"))
+    return called.join(index, ["tenant_id", "phrase"]).groupBy(*keys, "phrase", "memory_id").agg(F.max("score").alias("score"))

@@ -16,10 +16,10 @@ def sessions(changes: DataFrame, keys: list[str], at: str, path: str, gap_second
     return rows.groupBy(*keys, "started").agg(F.count("*").alias("n_changes"), F.count_distinct(path).alias("n_paths"))
 
 
-def session_stream(changes: DataFrame, at: str, path: str, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
-    """The same over a stream, as session windows with their distinct paths."""
+def session_stream(changes: DataFrame, keys: list[str], at: str, path: str, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
+    """The same over a stream, as session windows of each key with their distinct paths."""
     return (
         changes.withWatermark(at, late)
-        .groupBy(F.session_window(at, gap).alias("window"))
+        .groupBy(*keys, F.session_window(at, gap).alias("window"))
         .agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count("*").alias("n_changes"))
     )
