@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,14 +53,27 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage before it is written to the shared folder and read again."""
+def _is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a stage's rows were written to the end: the mark beside them is written last."""
+    try:
+        return not spark.read.parquet(f"{path}.done").isEmpty()
+    except AnalysisException:
+        return False
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """The rows of the last stage; each stage before it is written to the shared folder and read again.
+
+    With a ``folder`` of its own, a run that failed is taken up after its last whole stage when
+    it is called again. Each stage states in its operator what it does with nulls, empty texts
+    and repeated rows; an empty table gives an empty result.
+    """
     ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline-{uuid.uuid4()}"
+    path = folder or f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        if folder is None or not _is_whole(spark, f"{path}/{k}"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{path}/{k}")
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/{k}.done")
+        docs = spark.read.parquet(f"{path}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
