@@ -140,7 +140,7 @@ def log_matrix(langs: list[str], rows: DataFrame) -> np.ndarray:
     """Log-probabilities of the n-grams (first axis) in some languages."""
     counts = np.zeros((len(langs), DIMS))
     place = {lang: i for i, lang in enumerate(langs)}
-    cells = rows.where((F.col("lang") >= langs[0]) & (F.col("lang") <= langs[-1])).toPandas()  # at most languages times DIMS
+    cells = rows.where((F.col("lang") >= langs[0]) & (F.col("lang") <= langs[-1])).toArrow().to_pandas()  # at most languages times DIMS
     cells = cells[cells["lang"].isin(place)]
     if len(cells):
         counts[cells["lang"].map(place).to_numpy(int), cells["gram"].to_numpy(int)] = cells["n"].to_numpy(float)

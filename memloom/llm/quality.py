@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -144,15 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
         read_rows.select("fold", "low", "toxic", F.explode("dims").alias("dim"))
         .groupBy("fold", "dim")
         .agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic"))
-        .toPandas()
+        .withColumn("both", F.sum("n").over(Window.partitionBy("dim")))
+        .where(F.col("both") >= LEAST_DOCUMENTS[0])  # rarer words count for nothing
+        .drop("both")
+        .toArrow().to_pandas()
     )
-    totals = read_rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).toPandas()
+    totals = read_rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum("low").alias("low"), F.sum("toxic").alias("toxic")).toArrow().to_pandas()
     if len(totals) < 2 or (totals[list(HEADS)].min() == 0).any() or (totals["n"] - totals["low"]).min() == 0 or (totals["n"] - totals["toxic"]).min() == 0:
         return None
 
     def words(folds: list[int]) -> np.ndarray:
         own, whole = counts[counts["fold"].isin(folds)], totals[totals["fold"].isin(folds)]
-        n, out = np.bincount(own["dim"], own["n"], DIMS), np.zeros((len(HEADS), DIMS))
+        n, out = np.bincount(own["dim"], own["n"], DIMS), np.zeros((len(HEADS), DIMS), np.float32)
         for i, head in enumerate(HEADS):
             bad, every = np.bincount(own["dim"], own[head], DIMS), float(whole["n"].sum())
             with_bad = (bad + 0.5) / (float(whole[head].sum()) + 1)
@@ -176,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
                 [*[batch.column(c) for c in (*HEADS, "x")], pa.array(sums, pa.list_(pa.float64()))], names=[*HEADS, "x", "sums"]
             )
 
-    sample = read_rows.mapInArrow(weigh, "low int, toxic int, x array<double>, sums array<double>").toPandas()
+    sample = read_rows.mapInArrow(weigh, "low int, toxic int, x array<double>, sums array<double>").toArrow().to_pandas()
     shared.destroy()
     x, sums = np.stack(sample["x"].to_numpy()), np.stack(sample["sums"].to_numpy())
     mean, deviation = x.mean(0), x.std(0) + 1e-6

@@ -93,7 +93,7 @@ def anchor_filter(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     words = (
         counts.groupBy(F.shiftright(cell, 6).alias("word"))
         .agg(F.bit_or(one).alias("again"), F.bit_or(frequent).alias("often"))
-        .toPandas()  # at most 2 ** (FILTER_BITS - 6) rows
+        .toArrow().to_pandas()  # at most 2 ** (FILTER_BITS - 6) rows
     )
     for table, column in zip(tables, ("again", "often"), strict=True):
         table[words["word"].to_numpy(np.int64)] = words[column].to_numpy(np.int64)
