@@ -33,7 +33,7 @@ BAND = 5
 BANDS = BUCKETS // BAND
 #: Candidates whose estimate is below this are not confirmed; it lies nine deviations under 0.75.
 FAR_OFF = 0.5
-_PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, BUCKETS, (4096, BUCKETS))
+_PROBES = np.random.Generator(np.random.PCG64(7)).integers(0, BUCKETS, (4096, BUCKETS)).astype(np.uint8)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
