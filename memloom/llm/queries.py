@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, lines, minhash, mixing, quality, secrets, substring
+from . import chat, codebooks, decontam, divergence, fingerprints, langid, lines, minhash, mixing, packing, quality, secrets, substring
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("shuffle_key")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -62,8 +74,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_mix_sources": op10_mix_sources,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_source_divergence": op13_source_divergence,
 }
 
+
+def _codes_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """The rounds of op11 one after another."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (
+  SELECT row, part, min(d * 16 + entry) AS best FROM (
+    SELECT x.row, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS d FROM x JOIN b{k} b ON b.part = x.part AND b.i = x.i GROUP BY ALL
+  ) GROUP BY ALL
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT x.part, a.best % 16 AS entry, x.i, ((sum(x.v) - ((sum(x.v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM x JOIN a{k} a ON a.row = x.row AND a.part = x.part GROUP BY ALL
+), b{k + 1} AS (
+  SELECT b.part, b.entry, b.i, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry, i)
+)""")
+    return f"""
+WITH usable AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, embedding AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), x AS (
+  SELECT row, (j - 1) // (len(e) // 8) AS part, (j - 1) % (len(e) // 8) AS i, floor(4096 * e[j]::DOUBLE)::BIGINT AS v
+  FROM (SELECT *, unnest(range(1, len(e) + 1)) AS j FROM usable)
+), b0 AS (
+  SELECT part, row - 1 AS entry, i, v FROM x WHERE row <= 16
+), {", ".join(steps)}, coded AS (
+  SELECT row, string_agg(printf('%02x', (best % 16)::BIGINT), '' ORDER BY part) AS code, sum(best // 16)::BIGINT AS error FROM a{rounds} GROUP BY row
+), digest AS (
+  SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, i)) AS h FROM b{rounds}
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM coded JOIN usable USING (row), digest
+"""
+
+
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE words AS (
@@ -128,5 +178,38 @@ WITH RECURSIVE counts AS (
 )
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy
 FROM (SELECT doc_id, unnest(range(1, n + 1)) AS copy FROM copies) JOIN documents d USING (doc_id)
+""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (
+  SELECT r, lang, source,
+         unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM d
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), g AS (
+  SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (total + v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), l AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (sum(sum(n)) OVER (PARTITION BY lang) + v) AS q FROM c JOIN v USING (lang) GROUP BY lang, term, v
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 200
 """,
 }
