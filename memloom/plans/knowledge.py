@@ -222,7 +222,7 @@ ORACLES = {
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS place, fact FROM k WHERE n = 1""",
     "classify_kind": """SELECT doc_id AS memory_id, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'stupid') THEN 'decision'
   WHEN contains(lower(text), ' der ') OR contains(lower(text), ' les ') THEN 'preference' WHEN contains(lower(text), 'token') OR contains(lower(text), 'the the') THEN 'instruction' ELSE 'fact' END AS kind FROM documents""",
-    "entity_extraction": r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+)+') AS l FROM documents WHERE lang = 'en'),
+    "entity_extraction": r"""WITH n AS (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+(?:[ \t\n\f\r]+[A-Z][a-z]+)+') AS l FROM documents),
 e AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM n), f AS (SELECT doc_id, x, min(i) AS i FROM e GROUP BY 1, 2)
 SELECT doc_id AS memory_id, count(*) AS n_names, string_agg(x, '|' ORDER BY i) AS names FROM f GROUP BY 1""",
     "conflict_term_counts": r"""WITH w AS (SELECT conv_id, turn, list_transform(list_filter(string_split_regex(lower(text), '[ \t\n\f\r]+'), lambda x: x <> ''),
@@ -265,7 +265,7 @@ f AS (SELECT project_id, list_reduce(items, lambda a, x: CASE WHEN a.used + x.to
 SELECT project_id, array_to_string(p.ids, ',') AS selected, p.used AS used, 3500 - p.used AS remaining FROM f""",
     "prompt_assembly": rf"""WITH {RECORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY importance DESC, memory_id) AS k FROM memories),
 p AS (SELECT tenant_id, '<system>' || chr(10) || 'Answer from memory.' || chr(10) || '</system>' || chr(10) || chr(10) || '<memories>' ||
-  string_agg(chr(10) || '[#' || k || '] (fact, score=' || printf('%.2f', importance) || ') ' || title || chr(10) || substr(content, 1, 80), '' ORDER BY k) ||
+  string_agg(chr(10) || '[#' || k || '] (fact, score=' || printf('%.2f', importance) || ') ' || title || chr(10) || content, '' ORDER BY k) ||
   chr(10) || '</memories>' || chr(10) || chr(10) || '<user>' || chr(10) || 'What is known?' || chr(10) || '</user>' AS prompt FROM r WHERE k <= 3 GROUP BY 1)
 SELECT tenant_id, prompt, ceil(len(list_filter(string_split_regex(prompt, {_BLANK}), lambda x: x <> '')) * 1.3::DOUBLE)::BIGINT AS tokens FROM p""",
     "retrieval_metrics": """WITH s AS (
