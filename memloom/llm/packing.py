@@ -10,7 +10,6 @@ stays unfilled doesn't grow with the number of shards.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ CAPACITY = 2048
 SHARD_PIECES = 16_384
 REPACKED = 16
 #: Words whose ids a task remembers, and the longest of them in characters.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LONGEST_WORD = 64
 #: The id that ends a document.
 END = 0
@@ -36,11 +35,14 @@ END = 0
 class WordIds(dict):
     """The ids of words between blanks, as bytes of little-endian 32-bit numbers.
 
-    No token of this vocabulary holds a blank, so a text's ids are those of its words one
-    after another. Words that weren't met before are encoded together, with a mark between.
+    No token of this vocabulary holds a blank, nor a letter and the stop or comma after it, so
+    a text's ids are those of its words one after another. Words that weren't met before are
+    encoded together, with a mark between. The tokenizer lowers A to Z itself, so they are
+    lowered first where no special token can be meant.
     """
 
-    MARK = "|"
+    MARK = "\x01"
+    STOPS = ".,;:!?"
 
     def __init__(self, file: str):
         import os
@@ -48,9 +50,11 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(file)
         (self.mark,) = self.encode(self.MARK)
+        self.letters = frozenset(chr(c) for c in range(256) if chr(c).isalnum() and (c < 128 or chr(c).isalpha()))
+        self.stops = {c: self[c] for c in self.STOPS}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -59,20 +63,39 @@ class WordIds(dict):
         return np.array(self.encode(word), "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self and len(w) <= LONGEST_WORD and self.MARK not in w]
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(words) > REMEMBERED:
             self.clear()
-            self[""] = b""
-        for begin in range(0, len(new), 1000):
-            some = new[begin : begin + 1000]
+        self[""] = b""
+        stopped, plain = [], set()
+        for w in words.difference(self):
+            if w[-1] in self.stops and w[-2:-1] in self.letters:
+                stopped.append(w)
+                w = w[:-1]
+            if len(w) <= LONGEST_WORD and self.MARK not in w:
+                plain.add(w)
+        new = list(plain.difference(self))
+        for begin in range(0, len(new), 2000):
+            some = new[begin : begin + 2000]
             ids = np.array(self.encode(f" {self.MARK} ".join(some)), "<u4")
-            for word, own in zip(some, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True):
-                self[word] = own[own != self.mark].tobytes()
+            at = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
+            raw, first = ids.tobytes(), 0
+            for word, end in zip(some, at, strict=True):
+                self[word] = raw[first:end]
+                first = end + 4
+        for w in stopped:
+            if len(w) <= LONGEST_WORD:
+                self[w] = self[w[:-1]] + self.stops[w[-1]]
 
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
-        words = [re.split(r"[ \t\n\r]+", t) for t in texts]
-        self.learn({w for some in words for w in some})
-        for some in words:
+        split, words = [], set()
+        for text in texts:
+            if "<|" not in text:
+                text = text.encode().lower().decode()
+            some = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            words.update(some)
+            split.append(some)
+        self.learn(words)
+        for some in split:
             yield b"".join(map(self.__getitem__, some))
 
 
