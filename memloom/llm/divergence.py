@@ -9,6 +9,7 @@ share a term is put right for each pair in its postings. Both sums are added.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +27,25 @@ HEAVY_SHARE = 3
 TILE_TERMS, TILE_POSTINGS, BLOCK = 512, 100_000, 256
 #: Terms reported for each source.
 TOP = 200
-#: Bytes of distinct terms that a task counts before it hands counts on.
-COUNTED_BYTES = 24 << 20
+#: Bytes of distinct terms that a task counts before it hands counts on; beside its own, a term takes ``ENTRY_BYTES``.
+COUNTED_BYTES, ENTRY_BYTES = 80 << 20, 130
 SCALE = 1_000_000_000
+_ONE, _LOW = 1 << 36, (1 << 36) - 1
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``lang, source, term, n, docs`` of some documents at a time; a document's terms are counted at once."""
     term = re.compile(rb"[a-z\x80-\xff]+")  # the UTF-8 bytes of all that is no separator
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences, and above them documents
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in held.items():
-            items = list(terms.items())
-            for begin in range(0, len(items), 50_000):
-                some = items[begin : begin + 50_000]
+            names, counts = pa.array(list(terms), pa.binary()).cast(pa.string()), np.fromiter(terms.values(), np.int64, len(terms))
+            for begin in range(0, len(names), 50_000):
+                some, own = names.slice(begin, 50_000), counts[begin : begin + 50_000]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(some), pa.string()),
-                        pa.array([source] * len(some), pa.string()),
-                        pa.array([t for t, _ in some], pa.binary()).cast(pa.string()),
-                        pa.array([x[0] for _, x in some], pa.int64()),
-                        pa.array([x[1] for _, x in some], pa.int64()),
-                    ],
+                    [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), some, pa.array(own & _LOW), pa.array(own >> 36)],
                     ["lang", "source", "term", "n", "docs"],
                 )
         held.clear()
@@ -57,19 +53,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs, sources = (batch.column(c).to_pylist() for c in ("lang", "source"))
         for lang, source, text in zip(langs, sources, batch.column("text"), strict=True):
-            counts: dict[bytes, int] = {}
-            found = term.findall((text.as_py() or "").encode().lower())  # bytes: A-Z alone are lowered
-            for t in found:
-                counts[t] = counts.get(t, 0) + 1
             group = held.setdefault((lang, source), {})
-            for t, n in counts.items():
-                known = group.get(t)
-                if known is None:
-                    group[t] = [n, 1]
-                    size += len(t) + 200
-                else:
-                    known[0] += n
-                    known[1] += 1
+            known = len(group)
+            # Bytes: A to Z alone are lowered.
+            for t, n in Counter(term.findall((text.as_py() or "").encode().lower())).items():
+                group[t] = group.get(t, 0) + n + _ONE
+                size += len(t) if len(t) > 40 else 0
+            size += ENTRY_BYTES * (len(group) - known)
             if size > COUNTED_BYTES:
                 yield from out()
                 size = 0
@@ -239,8 +229,10 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP, heavy_s
     """
     key = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     texts = docs.select(*key, F.col("text"))
+    # Tasks have added up what they read, so rows are dealt out before they are added up again.
     counted = saved(
         texts.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
+        .repartition("lang", "source", "term")
         .groupBy("lang", "source", "term")
         .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     )
