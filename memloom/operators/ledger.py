@@ -98,6 +98,71 @@ def lineage(events: DataFrame, rounds: int = 60) -> DataFrame:
     return at.select("id", F.coalesce("up", "id").alias("root"), "depth")
 
 
+def lineage_errors(records: DataFrame) -> DataFrame:
+    """``logical_key, id, problem`` of managed lineages; without an id where the whole lineage is at fault.
+
+    ``records`` has ``logical_key, id, ledger_index, predecessor_id, action, supersedes,
+    created_at, candidate, candidate_fingerprint``. Of a record the first problem is named, of
+    a lineage each. A sound one is a chain: one root, one successor each, no cycle, no part that
+    the root doesn't reach. Only lineages with a pointer to a later record can have cycles;
+    those are followed by doubling, so a chain of n records takes log2(n) joins.
+    """
+    seen = F.struct("ledger_index", "created_at", "action", "candidate", "candidate_fingerprint")
+    prior = records.select("logical_key", F.col("id").alias("predecessor_id"), seen.alias("_p"))
+    linked = saved(records.join(prior, ["logical_key", "predecessor_id"], "left"))
+    root = F.col("predecessor_id").isNull()
+    problem = (
+        F.when(root & ((F.col("action") != "ADD") | (F.size("supersedes") != 0)), "root-action")
+        .when(root, None)
+        .when(F.col("action") == "ADD", "successor-action")
+        .when(F.col("_p").isNull() | (F.col("_p.ledger_index") >= F.col("ledger_index")), "orphan-predecessor")
+        .when((F.size("supersedes") != 1) | ~F.try_element_at("supersedes", F.lit(1)).eqNullSafe(F.col("predecessor_id")) | (F.col("created_at") < F.col("_p.created_at")), "predecessor-contract")
+        .when((F.col("action") == "RETRACT") & ((F.col("_p.action") == "RETRACT") | ~F.col("candidate").eqNullSafe(F.col("_p.candidate"))), "retraction-contract")
+        .when((F.col("action") == "SUPERSEDE") & (F.col("_p.action") != "RETRACT") & F.col("candidate_fingerprint").eqNullSafe(F.col("_p.candidate_fingerprint")), "redundant-successor")
+    )
+    own = linked.select("logical_key", "id", problem.alias("problem")).where("problem IS NOT NULL")
+
+    children = linked.where(~root).groupBy("logical_key", "predecessor_id").agg(F.count("*").alias("n")).groupBy("logical_key").agg(F.max("n").alias("forks"))
+    roots = linked.groupBy("logical_key").agg(F.count_if(root).alias("roots"), F.max(F.col("_p.ledger_index") >= F.col("ledger_index")).alias("turns"), F.count("*").alias("size"))
+    shape = saved(roots.join(children, "logical_key", "left"))
+    none = F.lit(None).cast(records.schema["id"].dataType).alias("id")
+    heads = shape.where("roots <> 1 OR forks > 1").select("logical_key", none, F.lit("multiple-heads").alias("problem"))
+
+    at = linked.join(shape.where("turns").select("logical_key"), "logical_key", "left_semi")
+    at = saved(at.select("logical_key", "id", F.when(F.col("_p").isNotNull(), F.col("predecessor_id")).alias("up")))
+    longest = shape.where("turns").agg(F.max("size")).first()[0] or 0
+    for _ in range(int(longest).bit_length()):
+        above = at.select("logical_key", F.col("id").alias("up"), F.col("up").alias("next"))
+        at = saved(at.join(above, ["logical_key", "up"], "left").select("logical_key", "id", F.col("next").alias("up")))
+    lost = at.where("up IS NOT NULL")  # after more steps than there are records: these never end
+    turning = lost.select("logical_key", F.col("up").alias("id")).distinct()
+    cycles = turning.withColumn("problem", F.lit("supersession-cycle"))
+    apart = lost.select("logical_key", "id").join(turning, ["logical_key", "id"], "left_anti").withColumn("problem", F.lit("disconnected-lineage"))
+    return own.unionByName(heads).unionByName(cycles).unionByName(apart)
+
+
+def lineage_guards(events: DataFrame, managed: DataFrame) -> DataFrame:
+    """``logical_key, tool_descendant, higher_descendant``: managed lineages that an unmanaged head builds on.
+
+    ``managed`` has ``id, logical_key``. Heads are events that nothing supersedes; from those
+    that aren't managed the references are followed down to the first managed event of each
+    path. A tool's descendant is an error, one of other authority protects the lineage.
+    """
+    pointers = saved(references(events).distinct())
+    heads = events.join(pointers.select(F.col("target").alias("id")), "id", "left_anti").join(managed, "id", "left_anti")
+    at = saved(heads.select("id", (F.col("authority") == "tool").alias("tool")).join(pointers, "id").select(F.col("target").alias("id"), "tool").distinct())
+    seen, found = at, None
+    while not at.isEmpty():
+        hit = at.join(managed, "id").select("logical_key", "tool")
+        found = hit if found is None else found.unionByName(hit)
+        below = at.join(managed, "id", "left_anti").join(pointers, "id").select(F.col("target").alias("id"), "tool").distinct()
+        at = saved(below.join(seen, ["id", "tool"], "left_anti"))
+        seen = seen.unionByName(at)
+    if found is None:
+        found = managed.limit(0).select("logical_key", F.lit(True).alias("tool"))
+    return found.groupBy("logical_key").agg(F.max("tool").alias("tool_descendant"), F.max(~F.col("tool")).alias("higher_descendant"))
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that the session names.
 

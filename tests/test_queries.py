@@ -3,10 +3,10 @@ import re
 import pytest
 from conftest import DATA, same_rows
 
-from memloom.plans import knowledge, ledger, retrieval, search, upkeep
+from memloom.plans import knowledge, ledger, retrieval, search, strict, upkeep
 
-QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES
-ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES
+QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES | strict.QUERIES
+ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES | strict.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
