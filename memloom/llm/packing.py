@@ -10,6 +10,8 @@ stays unfilled doesn't grow with the number of shards.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ CAPACITY = 2048
 #: Pieces that one task packs, and the share of them (one in so many) that is packed again.
 SHARD_PIECES = 16_384
 REPACKED = 16
-#: Words whose ids a task remembers, and the longest of them in characters.
+#: Words whose ids a Python process remembers, and the longest of them in characters.
 REMEMBERED = 1_000_000
 LONGEST_WORD = 64
 #: The id that ends a document.
@@ -99,6 +101,14 @@ class WordIds(dict):
             yield b"".join(map(self.__getitem__, some))
 
 
+def _known(file: str) -> WordIds:
+    """The words that earlier tasks of this Python process have met: Spark runs many in one."""
+    held = sys.modules.setdefault("_memloom_words", types.ModuleType("_memloom_words")).__dict__
+    if file not in held:
+        held[file] = WordIds(file)
+    return held[file]
+
+
 def pieces(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Per piece of a document: ``doc_id, piece, start, length, ids_crc32``; see ``pack``."""
     id_type = docs.schema["doc_id"].dataType
@@ -106,7 +116,7 @@ def pieces(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY) -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        known = WordIds(file or public_tokenizers.path("word_bpe_49k.json"))
+        known = _known(file or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([END], "<u4").tobytes()
         for batch in text_slices(batches, limit=1 << 22):
             texts = [t or "" for t in batch.column("text").to_pylist()]
