@@ -10,6 +10,7 @@ stays unfilled doesn't grow with the number of shards.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -40,7 +41,8 @@ class WordIds(dict):
     No token of this vocabulary holds a blank, nor a letter and the stop or comma after it, so
     a text's ids are those of its words one after another. Words that weren't met before are
     encoded together, with a mark between. The tokenizer lowers A to Z itself, so they are
-    lowered first where no special token can be meant.
+    lowered first where no special token can be meant. Words of small Latin letters alone stay
+    as they are in all its steps before the merges, so those steps are left out for them.
     """
 
     MARK = "\x01"
@@ -50,10 +52,14 @@ class WordIds(dict):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer, self.merges = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.merges.normalizer = normalizers.Sequence([])
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytes_of])
+        self.plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
         (self.mark,) = self.encode(self.MARK)
         self.letters = frozenset(chr(c) for c in range(256) if chr(c).isalnum() and (c < 128 or chr(c).isalpha()))
         self.stops = {c: self[c] for c in self.STOPS}
@@ -68,26 +74,36 @@ class WordIds(dict):
         if len(self) + len(words) > REMEMBERED:
             self.clear()
         self[""] = b""
-        stopped, plain = [], set()
+        stopped, new = [], set()
         for w in words.difference(self):
             if w[-1] in self.stops and w[-2:-1] in self.letters:
                 stopped.append(w)
                 w = w[:-1]
             if len(w) <= LONGEST_WORD and self.MARK not in w:
-                plain.add(w)
-        new = list(plain.difference(self))
-        for begin in range(0, len(new), 2000):
-            some = new[begin : begin + 2000]
+                new.add(w)
+        plain, other = [], []
+        for w in new.difference(self):
+            (plain if self.plain(w) else other).append(w)
+        for begin in range(0, len(plain), 1000):
+            some = plain[begin : begin + 1000]
+            found = self.merges.encode(" ".join(some), add_special_tokens=False)
+            place = np.array(found.word_ids, np.int64)
+            self._keep(some, np.array(found.ids, "<u4"), np.append(np.flatnonzero(np.diff(place)) + 1, len(place)), 0)
+        for begin in range(0, len(other), 1000):
+            some = other[begin : begin + 1000]
             ids = np.array(self.encode(f" {self.MARK} ".join(some)), "<u4")
-            at = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
-            raw, first = ids.tobytes(), 0
-            for word, end in zip(some, at, strict=True):
-                self[word] = raw[first:end]
-                first = end + 4
+            self._keep(some, ids, np.append(np.flatnonzero(ids == self.mark), len(ids)), 1)
         for w in stopped:
             if len(w) <= LONGEST_WORD:
                 self[w] = self[w[:-1]] + self.stops[w[-1]]
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray, between: int) -> None:
+        """Take the ids of words that stand one after another, each up to its end and so many ids apart."""
+        raw, first = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self[word] = raw[first:end]
+            first = end + 4 * between
+
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
         split, words = [], set()
         for text in texts:
