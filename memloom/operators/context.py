@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ledger import saved
+from .records import overview_or_default
+from .triggers import lookup
 
 #: Model tiers from the cheapest on.
 TIERS = ("fast", "balanced", "powerful")
@@ -36,20 +38,21 @@ def greedy_budget(candidates: DataFrame, group: Sequence[str], total: int, syste
     ``candidates`` has ``id, tokens, score, importance``. They are tried by 0.6 score + 0.4
     importance, and one that is too large is passed over. They are gathered in rounds of at
     most ``candidates_each`` of a group: the best of those that come later and fit what is left.
-    One that doesn't fit by then never will, so the rounds end with all candidates tried.
+    One that doesn't fit by then never will, so the rounds end with all candidates tried. A
+    column ``room`` of the candidates, equal within a group, is the group's budget if it is there.
     """
     value = F.round(0.6 * F.col("score") + 0.4 * F.col("importance"), 9)
-    budget = F.lit(max(0, total - system - user)).cast("long")
+    room = F.col("room") if "room" in candidates.columns else F.lit(max(0, total - system - user))
     names = [f"_g{i}" for i in range(len(group))]
     keys = [F.col(g).alias(n) for g, n in zip(group, names, strict=True)]
     place = F.struct(value.isNull().alias("none"), (-value).alias("value"), "id", F.monotonically_increasing_id().alias("row"))
-    placed = saved(candidates.select(*keys, "id", F.col("tokens").cast("long").alias("tokens"), place.alias("place")))
+    placed = saved(candidates.select(*keys, "id", F.col("tokens").cast("long").alias("tokens"), place.alias("place"), room.cast("long").alias("room")))
     state = placed.groupBy(*names).agg(
-        F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<string>)").alias("ids"), F.lit(None).cast(placed.schema["place"].dataType).alias("last")
+        F.max("room").alias("room"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<string>)").alias("ids"), F.lit(None).cast(placed.schema["place"].dataType).alias("last")
     )
     next_ones = Window.partitionBy(*names).orderBy("place")
     while True:
-        seen = state.select(*[F.col(n).alias(f"{n}s") for n in names], (budget - F.col("used")).alias("left"), "last")
+        seen = state.select(*[F.col(n).alias(f"{n}s") for n in names], (F.col("room") - F.col("used")).alias("left"), "last")
         same = [F.col(n).eqNullSafe(F.col(f"{n}s")) for n in names] or [F.lit(True)]
         later = placed.join(seen, reduce(lambda x, y: x & y, same)).where("(last IS NULL OR place > last) AND tokens <= left").select(*placed.columns, "left")
         best = later.withColumn("k", F.row_number().over(next_ones)).where(F.col("k") <= candidates_each)
@@ -63,6 +66,7 @@ def greedy_budget(candidates: DataFrame, group: Sequence[str], total: int, syste
         state = saved(
             state.join(more, reduce(lambda x, y: x & y, same), "left").select(
                 *names,
+                "room",
                 (F.col("used") + F.coalesce("p.used", F.lit(0))).alias("used"),
                 F.when(F.col("p").isNull(), F.col("ids")).otherwise(F.concat("ids", "p.ids")).alias("ids"),
                 F.coalesce("reached", "last").alias("last"),
@@ -70,7 +74,7 @@ def greedy_budget(candidates: DataFrame, group: Sequence[str], total: int, syste
         )
     return state.select(
         *[F.col(n).alias(g) for g, n in zip(group, names, strict=True)],
-        F.array_join("ids", ",").alias("selected"), "used", (budget - F.col("used")).alias("remaining"),
+        F.array_join("ids", ",").alias("selected"), "used", (F.col("room") - F.col("used")).alias("remaining"),
     )
 
 
@@ -118,6 +122,48 @@ def prompt(records: DataFrame, group: Sequence[str], system: str, user: str) ->
     return parts.select(*group, text.alias("prompt")).withColumn("tokens", T.word_tokens(F.col("prompt")))
 
 
+def preflight(
+    messages: DataFrame, records: DataFrame, index: DataFrame, overviews: DataFrame, as_of: str, system: str, total: int, keys: Sequence[str]
+) -> DataFrame:
+    """From message to prompt, a row a message: ``keys, called, summary, selected, used, remaining, prompt``.
+
+    ``messages`` has ``keys, tenant_id, project_id, text``. The records that its phrases call up
+    (``index``, as ``triggers.lookup`` takes it) are candidates with that score; of them a
+    greedy budget keeps what fits beside system text and message (words times 1.3). The prompt has the overview
+    kept for the project, or the default, then the selected records in the order of their value.
+    ``records`` has ``memory_id, kind, title, content, importance``.
+    """
+    own = [F.col(k) for k in keys]
+    called = lookup(messages, index, list(keys), "text").groupBy(*own, "memory_id").agg(F.max("score").alias("score"))
+    sized = records.select("memory_id", "kind", "title", "content", "importance", T.word_tokens(F.col("content")).alias("tokens"))
+    room = F.greatest(F.lit(0), F.lit(total) - T.word_tokens(F.lit(system)) - T.word_tokens(F.col("text"))).cast("long").alias("room")
+    found = saved(called.join(sized.select("memory_id", "importance", "tokens"), "memory_id").join(messages.select(*own, room), list(keys)))
+    budget = greedy_budget(found.withColumn("id", F.col("memory_id").cast("string")), keys, total)
+
+    ids = F.filter(F.split("selected", ","), lambda x: x != "")
+    chosen = budget.select(*own, F.explode(ids).alias("_id")).join(found.withColumn("_id", F.col("memory_id").cast("string")), [*keys, "_id"])
+    shown = chosen.join(sized.select("memory_id", "kind", "title", "content"), "memory_id")
+    value = F.round(0.6 * F.col("score") + 0.4 * F.col("importance"), 9)
+    line = F.concat(F.lit("] ("), "kind", F.format_string(", score=%.2f) ", F.col("score")), F.coalesce("title", F.lit("")), F.lit("\n"), "content")
+    lines = shown.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct((-value).alias("v"), F.col("_id").alias("id"), line.alias("t")))).alias("_lines"))
+
+    hits = called.groupBy(*own).agg(F.count("*").alias("called"))
+    kept = overview_or_default(messages.select("tenant_id", "project_id").distinct(), overviews, as_of)
+    out = messages.select(*own, "tenant_id", "project_id", "text", room).join(kept, ["tenant_id", "project_id"])
+    for more in (hits, budget.drop("remaining"), lines):
+        out = out.join(more, list(keys), "left")
+    body = F.array_join(F.transform("_lines", lambda x, i: F.concat(F.lit("\n[#"), (i + 1).cast("string"), x["t"])), "")
+    text = F.concat(
+        F.lit(f"<system>\n{system}\n</system>\n\n<overview>\n"), "summary", F.lit("\n</overview>\n\n<memories>"), F.coalesce(body, F.lit("")),
+        F.lit("\n</memories>\n\n<user>\n"), "text", F.lit("\n</user>"),
+    )
+    none = F.lit(0).cast("long")
+    return out.select(
+        *own, F.coalesce("called", none).alias("called"), "summary", F.coalesce("selected", F.lit("")).alias("selected"),
+        F.coalesce("used", none).alias("used"), (F.col("room") - F.coalesce("used", none)).alias("remaining"), text.alias("prompt"),
+    )
+
+
 def procedure_states(procedures: DataFrame, receipts: DataFrame) -> DataFrame:
     """``id, state, successes, failures, prior``: the latest receipt decides.
 

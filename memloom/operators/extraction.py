@@ -37,9 +37,16 @@ def conflict_terms(text: Column) -> Column:
 
 
 def conflicting(new: DataFrame, candidates: DataFrame, group: str, negations: Sequence[str] = T.NEGATIONS) -> DataFrame:
-    """``memory_id, candidate_id``: candidates of a group that share terms with a new text, one of both negated."""
+    """``memory_id, candidate_id``: candidates of a group that share terms with a new text, one of both negated.
+
+    Joined on the terms and on which side is negated, so that no other pair is made.
+    """
     no = F.array(*map(F.lit, negations))
-    side = lambda df, x: df.select(group, F.col("memory_id").alias(x), conflict_terms(F.col("content")).alias(f"w{x}"))
-    joined = side(new, "a").join(side(candidates, "b"), group).where("a <> b")
-    shared = F.size(F.array_except(F.array_intersect("wa", "wb"), no)) > 0
-    return joined.where(shared & (F.arrays_overlap("wa", no) != F.arrays_overlap("wb", no))).select(F.col("a").alias("memory_id"), F.col("b").alias("candidate_id"))
+
+    def side(df: DataFrame, name: str, flip: bool) -> DataFrame:
+        rows = df.select(group, F.col("memory_id").alias(name), conflict_terms(F.col("content")).alias("_w"))
+        negated = F.arrays_overlap("_w", no)
+        return rows.select(group, name, (~negated if flip else negated).alias("_no"), F.explode(F.array_except("_w", no)).alias("_t"))
+
+    joined = side(new, "a", False).join(side(candidates, "b", True), [group, "_no", "_t"]).where("a <> b")
+    return joined.select(F.col("a").alias("memory_id"), F.col("b").alias("candidate_id")).distinct()

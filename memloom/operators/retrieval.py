@@ -165,19 +165,16 @@ def abstaining(df: DataFrame, column: str = "combined", least: float = ABSTAIN_B
 def contradictions(df: DataFrame, group: str, order: str, column: str, negations: Sequence[str] = T.NEGATIONS) -> DataFrame:
     """``group, a, b, n_shared``: pairs of one group that share terms, exactly one of them negated.
 
-    Only pairs of a negated and a plain text are made.
+    Joined on the terms themselves, so that texts without a common one never meet; a pair's
+    common terms are added up before they are shuffled.
     """
     no = F.array(*map(F.lit, negations))
     rows = df.select(F.col(group), F.col(order).alias("_at"), F.array_distinct(T.words(F.col(column))).alias("_w"))
-    rows = rows.select(group, "_at", F.array_except("_w", no).alias("_t"), F.arrays_overlap("_w", no).alias("_no"))
-    negated = rows.where("_no").select(group, F.col("_at").alias("x"), F.col("_t").alias("tx"))
-    plain = rows.where("NOT _no").select(group, F.col("_at").alias("y"), F.col("_t").alias("ty"))
-    shared = F.size(F.array_intersect("tx", "ty"))
-    return (
-        negated.join(plain, group)
-        .select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), shared.cast("long").alias("n_shared"))
-        .where("n_shared > 0")
-    )
+    terms = rows.select(group, "_at", F.arrays_overlap("_w", no).alias("_no"), F.explode(F.array_except("_w", no)).alias("_t"))
+    negated = terms.where("_no").select(group, "_t", F.col("_at").alias("x"))
+    plain = terms.where("NOT _no").select(group, "_t", F.col("_at").alias("y"))
+    pairs = negated.join(plain, [group, "_t"]).select(group, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.groupBy(group, "a", "b").agg(F.count("*").alias("n_shared"))
 
 
 def citation(source_type: Column, source_id: Column, title: Column, uri: Column) -> Column:

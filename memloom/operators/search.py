@@ -17,12 +17,13 @@ from ..functions import text as T
 from ..functions import vector as V
 from . import retrieval as R
 from .filters import Request, in_scope, live, rejection_reasons
+from .keyword_index import GAP, LEAST_IDF, folded, phrases
 from .ledger import saved
+from .lifecycle import Hold, hold_states
 
 #: The indexed columns, and how many more candidates each source gives.
 INDEXED = ("title", "summary", "content", "tags", "entity_keys")
 CANDIDATES, NEAREST, NEWEST = 5, 10, 6
-LEAST_IDF = 1e-6
 EXCERPT = 200
 _TOKEN = r"[\p{L}\p{N}]+"
 
@@ -38,41 +39,41 @@ def is_procedure(metadata: Column, projection: str = "$.projection", data: str =
     return F.coalesce(F.get_json_object(metadata, projection) == "repo-ledger", F.lit(False)) & F.coalesce(named, F.lit(False))
 
 
-def _indexed_text(df: DataFrame) -> Column:
+def indexed_text(df: DataFrame) -> Column:
     """The indexed columns of a record as one text, with a mark between columns that no phrase crosses."""
     whole = []
     for name in INDEXED:
         if name in df.columns:
             joined = F.array_join(name, "\n") if df.schema[name].dataType.typeName() == "array" else F.col(name)
             whole.append(F.coalesce(joined, F.lit("")))
-    return F.lower(F.concat_ws("\n\u0000\n", *whole))
+    return folded(F.concat_ws(f"\n{GAP}\n", *whole))
 
 
 def keyword_rank(records: DataFrame, query: str, keep: Sequence[str] = ("memory_id",)) -> DataFrame:
     """``keep`` and ``rank``, negative and the lower the better, of records that have a query term.
 
     BM25 over all indexed columns as one, with the inverse document frequency ln((N - n + 0.5) /
-    (n + 0.5)), 0.000001 at least. A term that holds punctuation is a phrase of its parts. Each
+    (n + 0.5)), 0.000001 at least. Latin letters count without their marks. A term that holds punctuation is a phrase of its parts. Each
     row is counted once and kept as a few numbers; the totals are one row.
     """
-    phrases = [p for p in (re.findall(r"[^\W_]+", t) for t in T.query_terms(query)) if p]
-    if not phrases:
+    wanted = phrases(query)
+    if not wanted:
         return records.select(*keep, F.lit(0.0).alias("rank")).limit(0)
     gap = r"[^\p{L}\p{N}\x00]+"
     pattern = lambda p: F.lit(r"(?<![\p{L}\p{N}])" + gap.join(map(re.escape, p)) + r"(?![\p{L}\p{N}])")
-    text = records.select(*keep, _indexed_text(records).alias("_text"))
+    text = records.select(*keep, indexed_text(records).alias("_text"))
     counted = saved(
         text.select(
             *keep, F.regexp_count("_text", F.lit(_TOKEN)).alias("_n"),
-            *[F.regexp_count("_text", pattern(p)).alias(f"_tf{i}") for i, p in enumerate(phrases)],
+            *[F.regexp_count("_text", pattern(p)).alias(f"_tf{i}") for i, p in enumerate(wanted)],
         )
     )
     totals = counted.agg(
-        F.count("*").alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]
+        F.count("*").alias("n"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
     ).first()
     n, mean, score = totals["n"], totals["mean"] or 1.0, F.lit(0.0)
     found = F.lit(False)
-    for i in range(len(phrases)):
+    for i in range(len(wanted)):
         df, tf = totals[f"df{i}"], F.col(f"_tf{i}")
         idf = F.greatest(F.log(F.lit((n - df + 0.5) / (df + 0.5))), F.lit(LEAST_IDF))
         score = score + idf * tf * F.lit(R.K1 + 1) / (tf + F.lit(R.K1) * (F.lit(1 - R.B) + F.lit(R.B) * F.col("_n") / F.lit(mean)))
@@ -90,9 +91,12 @@ def visible(records: DataFrame, request: Request) -> DataFrame:
     return records.where(ok)
 
 
-def keyword_candidates(records: DataFrame, request: Request, query: str) -> DataFrame:
-    """``memory_id, fts``: the best visible records by keyword rank. The index knows all records."""
-    ranked = keyword_rank(records, query)
+def keyword_candidates(records: DataFrame, request: Request, query: str, ranked: DataFrame | None = None) -> DataFrame:
+    """``memory_id, fts``: the best visible records by keyword rank. The index knows all records.
+
+    ``ranked`` has the ranks of a stored index (``keyword_index.rank``); without it all texts are read.
+    """
+    ranked = keyword_rank(records, query) if ranked is None else ranked
     seen = visible(records, request).select("memory_id", "updated_at").join(ranked, "memory_id")
     best = R.top(seen, CANDIDATES * request.limit, F.asc("rank"), F.desc("updated_at"), F.asc("memory_id"))
     return best.select("memory_id", R.keyword_score(F.col("rank")).alias("fts"))
@@ -118,12 +122,14 @@ def vector_candidates(records: DataFrame, request: Request, embedding: Sequence[
     return R.top(near.where("vec > 0"), n, F.desc("vec"), F.desc("updated_at"), F.asc("memory_id")).select("memory_id", "vec")
 
 
-def candidates(records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False) -> DataFrame:
+def candidates(
+    records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False, ranked: DataFrame | None = None
+) -> DataFrame:
     """``memory_id, fts, vec, strategy``: the union of both lists, or the newest visible records if both are empty.
 
-    At most ten times as many rows as are asked for.
+    At most ten times as many rows as are asked for. ``ranked`` has ranks of a stored index.
     """
-    fts = saved(keyword_candidates(records, request, query))
+    fts = saved(keyword_candidates(records, request, query, ranked))
     vec = saved(vector_candidates(records, request, embedding, scan))
     by_words, by_vector = not fts.isEmpty(), not vec.isEmpty()
     if by_words or by_vector:
@@ -134,15 +140,57 @@ def candidates(records: DataFrame, request: Request, query: str, embedding: Sequ
     return newest.select("memory_id", zero.alias("fts"), zero.alias("vec"), F.lit("recency_fallback").alias("strategy"))
 
 
+def held_afresh(records: DataFrame, ids: DataFrame, holds: Sequence[Hold], as_of: str) -> DataFrame:
+    """``records`` with the states of those of ``ids`` (``memory_id``, a limited list) as the holds of now have them.
+
+    A covered record is held, and keeps in ``pre_hold_status`` what it was; one that no hold
+    covers any more is again what it was, or active. ``holds`` name tenants among their scope.
+    """
+    had = "pre_hold_status" in records.columns
+    before = F.col("pre_hold_status") if had else F.lit(None).cast("string")
+    named = F.broadcast(ids.select("memory_id", F.lit(True).alias("_asked")).distinct())
+    rows = records.join(named, "memory_id", "left")
+    covered = hold_states(rows.where("_asked"), holds, as_of).select("memory_id", F.lit(True).alias("_covered"))
+    rows = rows.join(F.broadcast(covered), "memory_id", "left")
+    plain = F.coalesce(before, F.when(F.col("status") == "held", "active").otherwise(F.col("status")))
+    status = F.when(F.col("_covered"), "held").when(F.col("_asked"), plain).otherwise(F.col("status"))
+    kept = F.when(F.col("_covered"), plain).when(F.col("_asked"), None).otherwise(before)
+    return rows.withColumns({"status": status, "pre_hold_status": kept}).drop("_asked", "_covered")
+
+
+def related(records: DataFrame, relations: DataFrame, found: DataFrame, as_of: str, denied: Column | None = None) -> DataFrame:
+    """``memory_id, relation, other``: what found records relate to, in either direction.
+
+    ``relations`` has ``src, dst, relation``; ``found`` is a limited list. Left out are others
+    that are deleted, retracted, outside of their validity, expired, procedures, or denied.
+    """
+    ids = F.broadcast(found.select("memory_id").distinct())
+    out = relations.select(F.col("src").alias("memory_id"), "relation", F.col("dst").alias("other")).join(ids, "memory_id")
+    back = relations.select(F.col("dst").alias("memory_id"), "relation", F.col("src").alias("other")).join(ids, "memory_id")
+    now, ok = F.lit(as_of).cast("timestamp_ntz"), F.lit(True)
+    if "status" in records.columns:
+        ok = ok & ~F.col("status").isin("deleted", "retracted")
+    for name, bad in (("valid_from", F.col("valid_from") > now), ("valid_to", F.col("valid_to") < now), ("expires_at", F.col("expires_at") <= now)):
+        if name in records.columns:
+            ok = ok & ~F.coalesce(bad, F.lit(False))
+    if "metadata" in records.columns:
+        ok = ok & ~is_procedure(F.col("metadata"))
+    if denied is not None:
+        ok = ok & ~denied
+    seen = records.where(ok).select(F.col("memory_id").alias("other"))
+    return out.unionByName(back).join(seen, "other").select("memory_id", "relation", "other")
+
+
 def evaluated(
-    records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False, denied: Column | None = None
-) -> DataFrame:
+    records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False, denied: Column | None = None,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
     """The candidates as ``records`` rows with ``fts, vec, strategy, score, reasons, rejections``.
 
     ``denied`` tells which records the caller may not read. A keyword candidate with an
     embedding gets its own cosine. ``reasons`` begin with those of retrieval.
     """
-    found = candidates(records, request, query, embedding, scan)
+    found = candidates(records, request, query, embedding, scan, ranked)
     rows = records.join(F.broadcast(found), "memory_id")
     if embedding and "embedding" in records.columns:
         own = F.when(F.size("embedding") == len(embedding), V.cosine(F.col("embedding"), V.literal(embedding)))
@@ -159,15 +207,23 @@ def evaluated(
 
 
 def search(
-    records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False, denied: Column | None = None
-) -> DataFrame:
+    records: DataFrame, request: Request, query: str, embedding: Sequence[float] | None = None, scan: bool = False, denied: Column | None = None,
+    ranked: DataFrame | None = None, holds: Sequence[Hold] | None = None,
+) -> DataFrame:
     """The records that answer a query, best first: ``records`` with ``fts, vec, strategy, score, reasons``.
 
     ``records`` needs ``memory_id, tenant_id, title, content, tags, entity_keys, importance,
     updated_at``; ``summary, status, metadata, embedding``, scope levels, validity and
     ``created_at`` are used if present. At most ``request.limit`` rows, by score, then newest.
+    With ``holds`` the candidates' states are renewed as of the request's time, and candidates
+    looked for once more among the records as they are then. ``ranked`` has ranks of a stored
+    index; without it all texts are read.
     """
-    accepted = evaluated(records, request, query, embedding, scan, denied).where(F.size("rejections") == 0).drop("rejections")
+    if holds is not None:
+        ranked = saved(keyword_rank(records, query)) if ranked is None else ranked
+        first = candidates(records, request, query, embedding, scan, ranked)
+        records = held_afresh(records, first, holds, request.as_of)
+    accepted = evaluated(records, request, query, embedding, scan, denied, ranked).where(F.size("rejections") == 0).drop("rejections")
     newest = [F.desc("updated_at"), *([F.desc("created_at")] if "created_at" in records.columns else [])]
     return R.top(accepted, request.limit, F.desc("score"), *newest, F.asc("memory_id"))
 

@@ -78,7 +78,7 @@ def _tf(k: int, phrase: list[str]) -> str:
 
 def _ranked(phrases: list[list[str]]) -> str:
     """Keyword ranks of all records; ``$`` between columns keeps phrases apart and isn't counted."""
-    part = lambda c: f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
+    part = lambda c: f"regexp_extract_all(strip_accents(lower({c})), '[\\p{{L}}\\p{{N}}]+')"
     tokens = " || ['$'] || ".join([part("title"), part("content"), part("tenant_id"), part("project_id"), part("project_id")])
     idf = lambda k: f"greatest(ln((docs - d{k} + 0.5::DOUBLE) / (d{k} + 0.5::DOUBLE)), 0.000001::DOUBLE)"
     score = " + ".join(f"{idf(k)} * t{k} * 2.2::DOUBLE / (t{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))" for k in range(len(phrases)))

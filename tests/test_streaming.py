@@ -26,11 +26,35 @@ def test_bucket_over_stored_events_and_stream(spark, tmp_path):
     want = {(0, True), (1, True), (2, True), (3, False), (4, True), (9, True)}
     stored = limiter.limited(df, "key", "at", "id", rate=0.5, burst=2)
     assert {(r["id"], r["allowed"]) for r in stored.collect()} == want
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = limiter.limited_stream(stream, 0.5, 2.0).writeStream.format("memory").queryName("bucket").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r["id"], r["allowed"]) for r in spark.table("bucket").collect()} == want
+    assert streamed(spark, tmp_path, [rows], "1 hour")[0] == want
+
+
+def streamed(spark, tmp_path, batches, lateness):
+    """Decisions of the stream over batches, and how many keys its state holds at the end."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "key string, at timestamp, id long"
+    name = f"bucket{len(batches)}"
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "key string, t string, id long").select("key", F.to_timestamp("t").alias("at"), "id")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = limiter.limited_stream(stream, 0.5, 2.0, lateness).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+        query = out.outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+    found = {(r["id"], r["allowed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+    return found, held[-1]
+
+
+def test_idle_keys_leave_the_state_of_the_stream(spark, tmp_path):
+    early = [(f"k{i}", "2024-01-01 00:00:00", i) for i in range(20)]
+    late = [("a", "2024-01-01 01:00:00", 100), ("k0", "2024-01-01 01:00:01", 101)]
+    last = [("k0", "2024-01-01 01:00:01", 102), ("k0", "2024-01-01 01:00:01", 103), ("k1", "2024-01-01 01:00:02", 104)]
+    found, held = streamed(spark, tmp_path, [early, late, last], "10 seconds")
+    stored = spark.createDataFrame(early + late + last, "key string, t string, id long").select("key", F.col("t").cast("timestamp_ntz").alias("at"), "id")
+    assert found == {(r["id"], r["allowed"]) for r in limiter.limited(stored, "key", "at", "id", rate=0.5, burst=2).collect()}
+    assert (103, False) in found and held < 15
 
 
 def test_sessions_end_after_a_gap(spark):
