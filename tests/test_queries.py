@@ -3,10 +3,10 @@ import re
 import pytest
 from conftest import DATA, same_rows
 
-from memloom.plans import index, knowledge, ledger, retrieval, search, strict, upkeep
+from memloom.plans import code, index, knowledge, ledger, retrieval, search, strict, upkeep
 
-QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES | strict.QUERIES | index.QUERIES
-ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES | strict.ORACLES | index.ORACLES
+QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES | strict.QUERIES | index.QUERIES | code.QUERIES
+ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES | strict.ORACLES | index.ORACLES | code.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
