@@ -655,3 +655,20 @@ def test_leaks_are_the_same_in_several_parts(spark, monkeypatch):
     assert once == {(i, i // 10) for i in range(0, 120, 10)}
     monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 5)
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()} == once
+
+
+@pytest.mark.parametrize("replaced", [0.2, 0.3])
+def test_leaks_with_many_words_replaced(spark, replaced):
+    rng = random.Random(19)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(4000)]
+    items = {k: prose(rng, rng.randint(15, 60), vocabulary) for k in range(100)}
+    texts = {i: prose(rng, rng.randint(100, 400), vocabulary) for i in range(300)}
+    for k, item in items.items():
+        words = [w if rng.random() >= replaced else rng.choice(vocabulary) for w in item.split()]
+        host = texts[k].split()
+        at = rng.randrange(len(host))
+        texts[k] = " ".join(host[:at] + words + host[at:])
+    benchmark = spark.createDataFrame([*items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()}
+    want = {(k, k) for k in items}
+    assert got <= want and len(got) >= 0.9 * len(want)
