@@ -142,6 +142,19 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def induced_at(nodes: DataFrame, edges: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the graph as it was at a time.
+
+    ``nodes`` has ``id, valid_from, valid_to``; a node holds from ``valid_from`` (always, where
+    that is missing) and before ``valid_to``. An edge is there with both of its ends, if its own
+    ``effective_at``, where it has one, isn't later.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    kept = nodes.where((F.col("valid_from").isNull() | (F.col("valid_from") <= now)) & (F.col("valid_to").isNull() | (F.col("valid_to") > now)))
+    begun = edges.where("effective_at IS NULL OR effective_at <= " + f"TIMESTAMP_NTZ '{as_of}'") if "effective_at" in edges.columns else edges
+    return kept, induced(kept, begun)
+
+
 def graph_score(ranks: DataFrame, degrees: DataFrame) -> DataFrame:
     """``id, graph_score``: 25 times the rank and 10 times the degree centrality."""
     return ranks.join(degrees, "id").select("id", (25 * F.col("rank") + 10 * F.col("centrality")).alias("graph_score"))

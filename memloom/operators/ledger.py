@@ -229,3 +229,27 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: str)
     tagged = current.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     best = tagged.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, "_new")).alias("row"))
     return best.select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest]).select(*current.columns)
+
+
+def projected(current: DataFrame, rows: DataFrame, projection: str) -> DataFrame:
+    """A store of several projections after one of them was written anew.
+
+    Both have ``projection, kind, id, payload``. Rows of the projection that aren't written any
+    more go, those of other projections stay, and a row written twice counts once, the greater
+    payload of both.
+    """
+    new = rows.withColumn("projection", F.lit(projection)).groupBy("projection", "kind", "id").agg(F.max("payload").alias("payload"))
+    others = current.where(F.col("projection") != projection)
+    return others.select("projection", "kind", "id", "payload").unionByName(new)
+
+
+def partition_errors(supplied: DataFrame, kept: DataFrame, omitted: DataFrame, key: str = "id") -> DataFrame:
+    """``key, problem``: where kept and omitted rows aren't exactly the supplied ones, each once."""
+    tagged = supplied.select(key, F.lit(1).alias("s"), F.lit(0).alias("k"), F.lit(0).alias("o"))
+    tagged = tagged.union(kept.select(key, F.lit(0), F.lit(1), F.lit(0))).union(omitted.select(key, F.lit(0), F.lit(0), F.lit(1)))
+    seen = tagged.groupBy(key).agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("o").alias("o"))
+    problem = (
+        F.when(F.col("s") == 0, "not supplied").when((F.col("k") > 0) & (F.col("o") > 0), "kept and omitted").when(F.col("k") + F.col("o") == 0, "lost")
+        .when(F.col("k") + F.col("o") != F.col("s"), "repeated")
+    )
+    return seen.select(key, problem.alias("problem")).where("problem IS NOT NULL")

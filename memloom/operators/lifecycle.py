@@ -127,3 +127,33 @@ def erasure(records: DataFrame, children: dict[str, DataFrame], held: DataFrame,
         hit = child.join(gone.distinct(), key, "left_semi").agg(F.count("*").alias("n"))
         out = out.unionByName(hit.select(F.lit(f"n_{name}").alias("what"), "n"))
     return out
+
+
+def forgotten(records: DataFrame, tables: dict[str, DataFrame], holds: Sequence[Hold], as_of: str, owner: str, owners: DataFrame, key: str = "memory_id") -> dict[str, DataFrame]:
+    """What is left after all records of some owners were erased: ``records``, each table, and what was done.
+
+    ``owners`` has the column ``owner``. Records that a hold covers stay, with what belongs to
+    them. Tables are those with rows of records (``key``) or of relations (``src, dst``), which
+    go with either end. ``erased`` has the key and owner of what went, ``kept`` the key, owner
+    and reasons of what a hold kept; ``events`` are audit rows, one an owner, also where nothing
+    was erased. Running it again changes nothing.
+    """
+    asked = owners.select(owner).distinct()
+    theirs = records.join(asked, owner, "left_semi")
+    held = hold_states(theirs, holds, as_of, key)
+    gone = theirs.join(held.select(key), key, "left_anti").select(key, owner)
+    ids = gone.select(key).distinct()
+    out = {"records": records.join(ids, key, "left_anti").select(*records.columns)}
+    for name, df in tables.items():
+        ends = [key] if key in df.columns else ["src", "dst"]
+        left = df
+        for end in ends:
+            left = left.join(ids.withColumnRenamed(key, end), end, "left_anti")
+        out[name] = left.select(*df.columns)
+    out["erased"] = gone
+    out["kept"] = theirs.select(key, owner).join(held.select(key, "reasons"), key)
+    counts = gone.groupBy(owner).agg(F.count("*").alias("n_erased"))
+    waits = out["kept"].groupBy(owner).agg(F.count("*").alias("n_held"))
+    events = asked.join(counts, owner, "left").join(waits, owner, "left").fillna(0, ["n_erased", "n_held"])
+    out["events"] = events.select(owner, F.lit("right_to_be_forgotten").alias("action"), F.lit(as_of).alias("at"), "n_erased", "n_held")
+    return out

@@ -20,33 +20,38 @@ def without(index: DataFrame, memory_ids: DataFrame) -> DataFrame:
     return index.join(memory_ids.select("memory_id").distinct(), "memory_id", "left_anti")
 
 
-def _pieces(text: Column) -> Column:
-    """The distinct runs of one, two and three characters of a text."""
-    of = lambda k: F.when(
-        F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - (k - 1)), lambda i: F.substring(text, i, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+def _runs(df: DataFrame, text: str, k: int) -> DataFrame:
+    """``df`` with ``piece``: a row for each run of ``k`` characters of a text."""
+    at = F.explode(F.sequence(F.lit(1), F.length(text) - (k - 1))).alias("_at")
+    rows = df.where(F.length(text) >= k).select(*df.columns, at)
+    return rows.select(*df.columns, F.substring(text, F.col("_at"), F.lit(k)).alias("piece"))
 
 
 def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     """``tenant_id, short, long``: texts of a tenant that stand somewhere in others, both sides distinct.
 
     A contained text shares all its runs of three characters, so it is looked up by the one of
-    them that the fewest texts have (a text of one or two characters by itself) and then
-    verified. One of whose runs no text has is dropped at once.
+    them that the fewest texts have, and then verified; one of whose runs no text has is dropped
+    at once, and runs that no contained text has aren't kept. A text of one or two characters is
+    a run itself.
     """
-    indexed = long.select("tenant_id", "long", F.explode(_pieces(F.col("long"))).alias("piece"))
+    found: DataFrame | None = None
+    for k in (1, 2):
+        tiny = short.where(F.length("short") == k).withColumn("piece", F.col("short"))
+        hit = _runs(long, "long", k).join(tiny, ["tenant_id", "piece"]).select("tenant_id", "short", "long").distinct()
+        found = hit if found is None else found.unionByName(hit)
+    own = saved(_runs(short, "short", 3).distinct())
+    indexed = saved(_runs(long, "long", 3).join(own.select("tenant_id", "piece").distinct(), ["tenant_id", "piece"], "left_semi").distinct())
     seen = indexed.groupBy("tenant_id", "piece").agg(F.count("*").alias("n"))
-    own = short.select("tenant_id", "short", F.filter(_pieces(F.col("short")), lambda p: F.length(p) == F.least(F.length("short"), F.lit(3))).alias("p"))
     rarest = (
-        own.select("tenant_id", "short", F.size("p").alias("all"), F.explode("p").alias("piece"))
-        .join(seen, ["tenant_id", "piece"])
-        .groupBy("tenant_id", "short", "all")
-        .agg(F.min(F.struct("n", "piece")).alias("least"), F.count("*").alias("found"))
+        own.join(seen, ["tenant_id", "piece"], "left")
+        .groupBy("tenant_id", "short")
+        .agg(F.min(F.when(F.col("n").isNotNull(), F.struct("n", "piece"))).alias("least"), F.count("*").alias("all"), F.count("n").alias("found"))
         .where("found = all")
         .select("tenant_id", "short", F.col("least.piece").alias("piece"))
     )
-    return rarest.join(indexed, ["tenant_id", "piece"]).where(F.contains("long", F.col("short"))).select("tenant_id", "short", "long")
+    near = rarest.join(indexed, ["tenant_id", "piece"]).where(F.contains("long", F.col("short"))).select("tenant_id", "short", "long")
+    return found.unionByName(near)
 
 
 def lookup(messages: DataFrame, index: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -29,8 +29,10 @@ def project(known: DataFrame, batch: DataFrame, tombstones: DataFrame | None = N
     return events.join(ends, "id", "left").select(*columns, "valid_to")
 
 
-def is_no_op(known: DataFrame, batch: DataFrame) -> bool:
-    """Whether a batch holds nothing but known events in a status that they have or are past."""
+def is_no_op(known: DataFrame, batch: DataFrame, tombstones: DataFrame | None = None) -> bool:
+    """Whether a batch holds nothing but known events in a status that they have or are past, and nothing known is erased."""
+    if tombstones is not None and not known.join(tombstones.select("id"), "id", "left_semi").isEmpty():
+        return False
     both = batch.select("id", F.col("status").alias("_s")).join(known.select("id", "status"), "id", "left")
     return both.where("status IS NULL").isEmpty() and both.where(G.merged_status(F.col("status"), F.col("_s")) != F.col("status")).isEmpty()
 
@@ -57,7 +59,7 @@ def sync(stream: DataFrame, path: str, checkpoint: str, tombstones: DataFrame |
         known = newest(batch.sparkSession, path, number)
         if known is None:
             known = batch.limit(0).withColumn("valid_to", F.lit(None).cast(batch.schema["created_at"].dataType))
-        elif is_no_op(known, batch):
+        elif is_no_op(known, batch, tombstones):
             return
         project(known, batch, tombstones).write.mode("overwrite").parquet(f"{path}/version={number}")
 
