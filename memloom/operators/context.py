@@ -207,11 +207,14 @@ def maintenance_issues(records: DataFrame, files: DataFrame, scan_complete: bool
 def model_routes(requests: DataFrame, models: DataFrame) -> DataFrame:
     """``request_id, model``: the cheapest capable model of the nearest tier, dearer tiers first.
 
-    ``requests`` has ``request_id, task, tier``; ``models`` is a short list of ``model, tier,
-    cost, tasks``.
+    ``requests`` has ``request_id, task, tier``; ``models`` has ``model, tier, cost, tasks``. Of
+    each task and tier only the cheapest model is joined, three a task at most.
     """
     place = F.create_map(*[F.lit(x) for pair in ((t, i) for i, t in enumerate(TIERS)) for x in pair])
-    m = models.select("model", F.element_at(place, F.col("tier")).alias("have"), "cost", F.explode("tasks").alias("task"))
-    joined = requests.join(F.broadcast(m), "task", "left").withColumn("want", F.element_at(place, F.col("tier")))
-    far = F.when(F.col("have") >= F.col("want"), 2 * (F.col("have") - F.col("want")) - 1).otherwise(2 * (F.col("want") - F.col("have")))
-    return joined.groupBy("request_id").agg(F.min_by("model", F.struct(far, "cost", "model")).alias("model"))
+    each = models.select("model", F.element_at(place, F.col("tier")).alias("have"), "cost", F.explode("tasks").alias("task"))
+    best = each.groupBy("task", "have").agg(F.min(F.struct("cost", "model")).alias("b"))
+    best = best.groupBy("task").agg(F.collect_list(F.struct("have", "b")).alias("_tiers"))
+    want = F.element_at(place, F.col("tier"))
+    far = lambda have: F.when(have >= want, 2 * (have - want) - 1).otherwise(2 * (want - have))
+    nearest = F.array_min(F.transform("_tiers", lambda t: F.struct(far(t["have"]).alias("far"), t["b"]["cost"].alias("cost"), t["b"]["model"].alias("model"))))
+    return requests.join(best, "task", "left").select("request_id", nearest["model"].alias("model"))

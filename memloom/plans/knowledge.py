@@ -169,13 +169,19 @@ def maintenance_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame(
-        [("small", "fast", 0.1, ["rerank", "extract"]), ("middle", "balanced", 0.5, ["rerank", "compact"]), ("large", "powerful", 2.0, ["compact", "abstract"]), ("large-b", "powerful", 2.0, ["abstract"])],
-        "model string, tier string, cost double, tasks array<string>",
-    )
-    asked = [(t, tier) for t in ("rerank", "extract", "compact", "abstract", "translate") for tier in X.TIERS]
-    requests = spark.createDataFrame([(f"{t}/{tier}", t, tier) for t, tier in asked], "request_id string, task string, tier string")
-    return X.model_routes(requests, models)
+    """Turns of conversations as requests, parts as models; one task has no model, another none of the dearest tier."""
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    key = F.col("p_partkey")
+    models = table(spark, sf_dir, "part").where("NOT (p_partkey % 4 = 1 AND p_size % 3 = 2)").select(
+        F.concat(F.lit("p"), key.cast("string")).alias("model"), pick(X.TIERS, F.col("p_size") % 3).alias("tier"), F.col("p_retailprice").alias("cost"),
+        F.array(pick(("rerank", "extract", "compact", "abstract"), key % 4)).alias("tasks"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    requests = turns.select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id"),
+        pick(("rerank", "extract", "compact", "abstract", "translate"), (F.col("conv_id") + F.col("turn")) % 5).alias("task"), pick(X.TIERS, F.col("turn") % 3).alias("tier"),
+    )
+    return X.model_routes(requests, models).withColumn("model", F.coalesce("model", F.lit("")))
 
 
 def file_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,6 +269,13 @@ SELECT n.id, coalesce((SELECT min(x.other) FROM reach r JOIN reach x ON x.id = r
 l AS (SELECT project_id, list({{'id': id, 'tokens': tokens}} ORDER BY k) AS items FROM r WHERE k <= 1000 GROUP BY 1),
 f AS (SELECT project_id, list_reduce(items, lambda a, x: CASE WHEN a.used + x.tokens <= 3500 THEN {{'used': a.used + x.tokens, 'ids': list_append(a.ids, x.id::VARCHAR)}} ELSE a END, {{'used': 0::BIGINT, 'ids': []::VARCHAR[]}}) AS p FROM l)
 SELECT project_id, array_to_string(p.ids, ',') AS selected, p.used AS used, 3500 - p.used AS remaining FROM f""",
+    "agent_context": f"""WITH {RECORDS_SQL}, t AS (SELECT memory_id, importance, '[fact] ' || title || chr(10) || content AS b FROM memories ORDER BY importance DESC, memory_id LIMIT 50),
+l AS (SELECT list({{'t': b, 'n': 0::BIGINT, 'open': true}} ORDER BY importance DESC, memory_id) AS bs FROM t), f AS (
+  SELECT list_reduce(bs, lambda a, x: CASE WHEN NOT a.open THEN a
+    WHEN length(x.t) <= 3000 - length(a.t) - 2 * (a.n > 0)::INT THEN {{'t': a.t || CASE WHEN a.n > 0 THEN chr(10) || chr(10) ELSE '' END || x.t, 'n': a.n + 1, 'open': true}}
+    WHEN 3000 - length(a.t) - 2 * (a.n > 0)::INT >= 120 THEN {{'t': a.t || CASE WHEN a.n > 0 THEN chr(10) || chr(10) ELSE '' END || left(x.t, 3000 - length(a.t) - 2 * (a.n > 0)::INT), 'n': a.n + 1, 'open': false}}
+    ELSE {{'t': a.t, 'n': a.n, 'open': false}} END, {{'t': '', 'n': 0::BIGINT, 'open': true}}) AS p FROM l
+) SELECT p.t AS context, p.n AS n_records, greatest(1, length(p.t) // 4) AS tokens FROM f""",
     "prompt_assembly": rf"""WITH {RECORDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY importance DESC, memory_id) AS k FROM memories),
 p AS (SELECT tenant_id, '<system>' || chr(10) || 'Answer from memory.' || chr(10) || '</system>' || chr(10) || chr(10) || '<memories>' ||
   string_agg(chr(10) || '[#' || k || '] (fact, score=' || printf('%.2f', importance) || ') ' || title || chr(10) || content, '' ORDER BY k) ||
@@ -299,9 +312,13 @@ SELECT id, CASE WHEN id % 3 = 0 THEN 'candidate' WHEN id % 7 = 0 THEN 'stale' WH
 SELECT memory_id, 'evidence-gap' AS kind FROM j WHERE page IS NULL UNION ALL SELECT memory_id, 'source-not-in-map' FROM j WHERE page IS NOT NULL AND page_id IS NULL
 UNION ALL SELECT memory_id, 'source-changed' FROM j WHERE page_id IS NOT NULL AND memory_id % 2 = 0
 UNION ALL SELECT memory_id, 'exact-content-overlap' FROM j WHERE fingerprint IN (SELECT fingerprint FROM memories GROUP BY 1 HAVING count(*) > 1)""",
-    "model_route": """SELECT * FROM (VALUES ('rerank/fast', 'small'), ('rerank/balanced', 'middle'), ('rerank/powerful', 'middle'), ('extract/fast', 'small'), ('extract/balanced', 'small'), ('extract/powerful', 'small'),
-  ('compact/fast', 'middle'), ('compact/balanced', 'middle'), ('compact/powerful', 'large'), ('abstract/fast', 'large'), ('abstract/balanced', 'large'), ('abstract/powerful', 'large'),
-  ('translate/fast', NULL), ('translate/balanced', NULL), ('translate/powerful', NULL)) t(request_id, model)""",
+    "model_route": """WITH m AS (
+  SELECT 'p' || p_partkey AS model, p_size % 3 AS have, p_retailprice AS cost, ['rerank', 'extract', 'compact', 'abstract'][p_partkey % 4 + 1] AS task FROM part WHERE NOT (p_partkey % 4 = 1 AND p_size % 3 = 2)
+), r AS (
+  SELECT DISTINCT conv_id || '/' || turn AS request_id, ['rerank', 'extract', 'compact', 'abstract', 'translate'][(conv_id + turn) % 5 + 1] AS task, turn % 3 AS want FROM conversations
+), j AS (
+  SELECT request_id, model, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN have >= want THEN 2 * (have - want) - 1 ELSE 2 * (want - have) END, cost, model) AS k FROM r LEFT JOIN m USING (task)
+) SELECT request_id, coalesce(model, '') AS model FROM j WHERE k = 1""",
     "file_classification": """SELECT page_id, ['source', 'test', 'documentation', 'asset', 'source', 'manifest'][page_id % 6 + 1] AS kind, ['python', 'typescript', 'markdown', NULL, 'sql', 'json'][page_id % 6 + 1] AS language FROM pages""",
     "page_links": """SELECT page_id, len(l) AS n_links, len(list_distinct(l)) AS n_distinct, list_min(l) AS first_link FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages)""",
 }

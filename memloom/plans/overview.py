@@ -9,6 +9,7 @@ from ..operators import graph as Q
 from ..operators import ledger as G
 from ..operators import lifecycle as C
 from ..operators import overview as V
+from ..operators import procedures as M
 from ..sources.projections import GRAPH_SQL, LEDGER_SQL, RECORDS_SQL, ledger, place_graph, records, table
 from .ledger import _HELD, HOLDS, _orders
 
@@ -158,10 +159,47 @@ def partition_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.partition_errors(ids, kept, ids.where("id % 3 = 0 AND id % 41 <> 0"))
 
 
+def procedure_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as drafts of procedures over suppliers' files; half of the receipts of a day are there already."""
+    at = F.col("o_orderkey")
+    drafts = table(spark, sf_dir, "orders").select(
+        at.alias("request_id"), (at % 4000).alias("receipt_id"), F.col("o_orderpriority").alias("title"), F.when(at % 29 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderstatus")).alias("steps"),
+        F.concat(F.lit("s"), (at % 120).cast("string")).alias("path"), (at % 7).alias("start_line"), (at % 9).alias("end_line"), F.when(at % 31 == 0, "tool").otherwise("agent").alias("authority"),
+        F.when(at % 37 == 0, "restricted").otherwise("internal").alias("sensitivity"), F.col("o_orderdate").alias("created_at"),
+    )
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("path"), (F.col("s_suppkey") % 10).alias("lines"))
+    none = spark.createDataFrame([], "receipt_id long, digest string")
+    before = M.learned(drafts.where("request_id % 16 = 5"), none, files).where("verdict = 'written'").select("receipt_id", "digest")
+    return M.learned(drafts, G.saved(before), files).select("request_id", "verdict")
+
+
+def procedure_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as approvals of customers' procedures."""
+    at, key = F.col("o_orderkey"), F.col("c_custkey")
+    asked = table(spark, sf_dir, "orders").select(at.alias("request_id"), at.alias("receipt_id"), (F.col("o_custkey") * 11 % 1600).alias("procedure_id"), F.when(at % 6 == 0, "agent").otherwise("human").alias("authority"), F.col("o_orderdate").alias("created_at"))
+    state = F.when(key % 5 == 0, "approved").otherwise("candidate")
+    procedures = table(spark, sf_dir, "customer").select(key.alias("id"), state.alias("state"), (key % 7 != 1).alias("active"), F.concat(F.lit("f"), key % 50).alias("path"), F.when(key % 9 != 2, F.concat(F.lit("h"), key % 50)).alias("blob"))
+    files = table(spark, sf_dir, "customer").where("c_custkey < 50").select(F.concat(F.lit("f"), key).alias("path"), F.concat(F.lit("h"), F.when(key == 13, 0).otherwise(key)).alias("sha256"))
+    return M.approved(asked, procedures, files, spark.createDataFrame([], "receipt_id long, digest string")).select("request_id", "verdict")
+
+
+def procedure_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as outcomes of customers' procedures, three to an episode."""
+    at = F.col("o_orderkey")
+    outcome = F.element_at(F.array(F.lit("success"), F.lit("failure"), F.lit("unknown"), F.lit("other")), (at % 4 + 1).cast("int"))
+    outcomes = table(spark, sf_dir, "orders").select(
+        at.alias("request_id"), at.alias("receipt_id"), F.floor(at / 3).alias("episode_id"), F.col("o_custkey").alias("procedure_id"), outcome.alias("outcome"), (at % 5 != 0).alias("verified"),
+        F.when(at % 3 == 0, " ").otherwise("log").alias("evidence"), F.lit("agent").alias("authority"), F.lit("public").alias("sensitivity"), F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+    )
+    procedures = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 8 == 0, "candidate").otherwise("approved").alias("state"), F.lit("1994-01-01").cast("timestamp_ntz").alias("created_at"))
+    return M.reported(outcomes, procedures, spark.createDataFrame([], "receipt_id long, episode_id long, digest string")).select("request_id", "kind", "verdict")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tenant_storage, record_storage, project_summaries, artifact_states, repository_status, graph_checks, boot_briefs, forgotten_records, graph_at_time, projection_renewed, partition_problems,
+        procedure_drafts, procedure_approvals, procedure_reports,
     )
 }
 
@@ -247,4 +285,20 @@ UNION ALL SELECT 'a', 'order', o_orderkey::VARCHAR, CASE WHEN o_orderkey % 30 =
     "partition_problems": """WITH n AS (SELECT doc_id AS id, (doc_id % 3 <> 0)::INT + (doc_id % 31 = 0)::INT AS k, (doc_id % 3 = 0 AND doc_id % 41 <> 0)::INT AS o FROM documents)
 SELECT id, CASE WHEN k > 0 AND o > 0 THEN 'kept and omitted' WHEN k + o = 0 THEN 'lost' ELSE 'repeated' END AS problem FROM n WHERE k + o <> 1
 UNION ALL SELECT -doc_id - 1, 'not supplied' FROM documents WHERE doc_id % 47 = 1""",
+    "procedure_drafts": """WITH d AS (
+  SELECT o_orderkey AS k, o_orderkey % 4000 AS receipt, o_orderdate AS ts, concat_ws('|', o_orderpriority, CASE WHEN o_orderkey % 29 = 0 THEN '' ELSE o_orderstatus END, o_orderkey % 120, o_orderkey % 7, o_orderkey % 9) AS c, s_suppkey % 10 AS n FROM orders LEFT JOIN supplier ON s_suppkey = o_orderkey % 120
+), r AS (
+  SELECT *, CASE WHEN n IS NULL THEN 'no such source' WHEN k % 9 < k % 7 THEN 'lines out of order' WHEN greatest(k % 9, k % 7) > n THEN 'lines beyond the source' WHEN k % 31 = 0 THEN 'no reporter'
+    WHEN k % 37 = 0 THEN 'sensitive' WHEN k % 29 = 0 THEN 'no steps' END AS rule FROM d
+), b AS (SELECT receipt, arg_min(c, (ts, k)) AS held FROM r WHERE k % 16 = 5 AND rule IS NULL GROUP BY 1),
+f AS (SELECT r.*, held, first_value(c) OVER w AS one, row_number() OVER w AS i FROM r LEFT JOIN b USING (receipt) WINDOW w AS (PARTITION BY receipt, rule IS NULL AND held IS NULL ORDER BY ts, k))
+SELECT k AS request_id, CASE WHEN held = c THEN 'known' WHEN held IS NOT NULL THEN 'receipt was used' WHEN rule IS NOT NULL THEN rule WHEN i = 1 THEN 'written' WHEN one = c THEN 'known' ELSE 'receipt was used' END AS verdict FROM f""",
+    "procedure_approvals": """WITH a AS (SELECT o_orderkey AS k, o_custkey * 11 % 1600 AS p, o_orderdate AS ts FROM orders), r AS (
+  SELECT k, p, ts, CASE WHEN c_custkey IS NULL THEN 'no such procedure' WHEN k % 6 = 0 THEN 'needs human authority' WHEN p % 5 = 0 THEN 'not a candidate' WHEN p % 7 = 1 THEN 'no longer active'
+    WHEN p % 9 = 2 OR p % 50 = 13 OR p % 50 NOT IN (SELECT c_custkey FROM customer) THEN 'source has changed' END AS rule FROM a LEFT JOIN customer ON c_custkey = p
+) SELECT k AS request_id, CASE WHEN rule IS NOT NULL THEN rule WHEN row_number() OVER (PARTITION BY p, rule IS NULL ORDER BY ts, k) > 1 THEN 'approved before' ELSE 'written' END AS verdict FROM r""",
+    "procedure_reports": """WITH o AS (SELECT o_orderkey AS k, o_custkey AS p, o_orderdate AS ts, first_value(o_orderkey) OVER (PARTITION BY o_orderkey // 3 ORDER BY o_orderdate, o_orderkey) AS one FROM orders)
+SELECT k AS request_id, CASE WHEN k % 4 = 1 THEN 'mistake' ELSE 'fact' END AS kind, CASE WHEN c_custkey IS NULL OR p % 8 = 0 THEN 'no approved version' WHEN ts < TIMESTAMP '1994-01-01' THEN 'predates its version' WHEN k % 4 = 3 THEN 'no such outcome'
+  WHEN k % 4 = 0 AND k % 5 = 0 THEN 'not verified' WHEN k % 4 = 1 AND k % 3 = 0 THEN 'no evidence' WHEN one <> k THEN 'episode has another receipt' ELSE 'written' END AS verdict
+FROM o LEFT JOIN customer ON c_custkey = p""",
 }
