@@ -3,10 +3,10 @@ import re
 import pytest
 from conftest import DATA, same_rows
 
-from memloom.plans import code, index, knowledge, ledger, overview, repo, retrieval, search, strict, upkeep
+from memloom.plans import code, index, knowledge, ledger, overview, repo, retrieval, search, strict, upkeep, writes
 
-QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES | strict.QUERIES | index.QUERIES | code.QUERIES | overview.QUERIES | repo.QUERIES
-ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES | strict.ORACLES | index.ORACLES | code.ORACLES | overview.ORACLES | repo.ORACLES
+QUERIES = retrieval.QUERIES | search.QUERIES | upkeep.QUERIES | ledger.QUERIES | knowledge.QUERIES | strict.QUERIES | index.QUERIES | code.QUERIES | overview.QUERIES | repo.QUERIES | writes.QUERIES
+ORACLES = retrieval.ORACLES | search.ORACLES | upkeep.ORACLES | ledger.ORACLES | knowledge.ORACLES | strict.ORACLES | index.ORACLES | code.ORACLES | overview.ORACLES | repo.ORACLES | writes.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
