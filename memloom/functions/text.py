@@ -54,9 +54,9 @@ def char_tokens(text: Column) -> Column:
 def ngrams(text: Column) -> Column:
     """Distinct single words and pairs of neighbouring words of the normalised text."""
     w = F.filter(F.split(collapsed(text), " "), lambda x: x != "")
+    # Whole arrays side by side, not one place after another: a lambda would split the text anew for each.
     pairs = F.when(
-        F.size(w) > 1,
-        F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))),
+        F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
     ).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(w, pairs))
 

@@ -60,7 +60,7 @@ def lookup(messages: DataFrame, index: DataFrame, keys: list[str], column: str)
 
     Each distinct n-gram of a tenant is looked up once, and all lookups are equi-joins.
     """
-    grams = messages.select(*keys, "tenant_id", F.explode(T.ngrams(F.col(column))).alias("gram"))
+    grams = saved(messages.select(*keys, "tenant_id", F.explode(T.ngrams(F.col(column))).alias("gram")))
     distinct = saved(grams.select("tenant_id", "gram").where("gram <> ''").distinct())
     phrases = index.select("tenant_id", "phrase").distinct()
     exact = distinct.join(phrases.withColumn("gram", F.col("phrase")), ["tenant_id", "gram"]).withColumn("score", F.lit(1.0))
