@@ -15,6 +15,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -74,16 +75,20 @@ class WordIds(dict):
         if len(self) + len(words) > REMEMBERED:
             self.clear()
         self[""] = b""
+        stops, letters, mark, small = self.stops, self.letters, self.MARK, self.plain
         stopped, new = [], set()
         for w in words.difference(self):
-            if w[-1] in self.stops and w[-2:-1] in self.letters:
+            if w[-1] in stops and w[-2:-1] in letters:
                 stopped.append(w)
                 w = w[:-1]
-            if len(w) <= LONGEST_WORD and self.MARK not in w:
-                new.add(w)
+            new.add(w)
         plain, other = [], []
         for w in new.difference(self):
-            (plain if self.plain(w) else other).append(w)
+            if len(w) <= LONGEST_WORD:
+                if small(w):
+                    plain.append(w)
+                elif mark not in w:
+                    other.append(w)
         for begin in range(0, len(plain), 1000):
             some = plain[begin : begin + 1000]
             found = self.merges.encode(" ".join(some), add_special_tokens=False)
@@ -114,7 +119,7 @@ class WordIds(dict):
             split.append(some)
         self.learn(words)
         for some in split:
-            yield b"".join(map(self.__getitem__, some))
+            yield b"".join(itemgetter(*some)(self)) if len(some) > 1 else self[some[0]]
 
 
 def _known(file: str) -> WordIds:
