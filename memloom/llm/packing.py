@@ -30,7 +30,7 @@ CAPACITY = 2048
 SHARD_PIECES = 16_384
 REPACKED = 16
 #: Words whose ids a Python process remembers, and the longest of them in characters.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 LONGEST_WORD = 64
 #: The id that ends a document.
 END = 0
