@@ -53,10 +53,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def _is_whole(spark: SparkSession, path: str) -> bool:
-    """Whether a stage's rows were written to the end: the mark beside them is written last."""
+def _is_whole(spark: SparkSession, path: str, said: tuple[str, str]) -> bool:
+    """Whether a stage's rows were written to the end, from this input by these stages: the mark beside them is written last."""
     try:
-        return not spark.read.parquet(f"{path}.done").isEmpty()
+        return [tuple(r) for r in spark.read.parquet(f"{path}.done").select("input", "stages").collect()] == [said]  # one row
     except AnalysisException:
         return False
 
@@ -65,15 +65,16 @@ def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFram
     """The rows of the last stage; each stage before it is written to the shared folder and read again.
 
     With a ``folder`` of its own, a run that failed is taken up after its last whole stage when
-    it is called again. Each stage states in its operator what it does with nulls, empty texts
+    it is called again on the same input with the same stages before it. Each stage states in its operator what it does with nulls, empty texts
     and repeated rows; an empty table gives an empty result.
     """
     ensure_checkpoint_dir(spark)
     path = folder or f"{spark.sparkContext.getCheckpointDir()}/corpus_pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        if folder is None or not _is_whole(spark, f"{path}/{k}"):
+        said = (sf_dir, ",".join(name for name, _ in STAGES[: k + 1]))
+        if folder is None or not _is_whole(spark, f"{path}/{k}", said):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{path}/{k}")
-            spark.range(1).write.mode("overwrite").parquet(f"{path}/{k}.done")
+            spark.createDataFrame([said], "input string, stages string").write.mode("overwrite").parquet(f"{path}/{k}.done")
         docs = spark.read.parquet(f"{path}/{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
