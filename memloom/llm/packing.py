@@ -30,8 +30,10 @@ CAPACITY = 2048
 SHARD_PIECES = 16_384
 REPACKED = 16
 #: Words whose ids a Python process remembers, and the longest of them in characters.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 LONGEST_WORD = 64
+#: Bytes of text whose words are gathered at once: the more, the fewer are met again.
+SLICE = 1 << 23
 #: The id that ends a document.
 END = 0
 
@@ -139,7 +141,7 @@ def pieces(docs: DataFrame, file: str | None = None, capacity: int = CAPACITY) -
 
         known = _known(file or public_tokenizers.path("word_bpe_49k.json"))
         end = np.array([END], "<u4").tobytes()
-        for batch in text_slices(batches, limit=1 << 22):
+        for batch in text_slices(batches, limit=SLICE):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(known.of_texts(texts)):
