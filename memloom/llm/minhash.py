@@ -59,7 +59,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     A register is the leading-zero count times 1024 plus the mantissa. An empty one borrows
     from the first full one of a fixed sequence of places, so that small sets compare too.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     slot = owner * BUCKETS + (every >> np.uint64(56)).astype(np.int64)
