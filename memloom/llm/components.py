@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -15,23 +14,6 @@ from .common import checkpoint
 LINKS_A_TASK = 100_000
 
 
-#: Rounds over fewer links aren't worth code of their own: what is compiled for them fills the driver's memory.
-COMPILED_LINKS = 2_000_000
-
-
-@contextmanager
-def _uncompiled(spark: SparkSession, links: int | None) -> Iterator[None]:
-    """Without whole-stage code while few links are gone through; the rows are the same."""
-    key = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(key)
-    if links is not None and links <= COMPILED_LINKS:
-        spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest id reachable from each id that has a link.
 
@@ -44,7 +26,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    spark = edges.sparkSession
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -63,12 +44,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             .unionByName(lowest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        with _uncompiled(spark, before and before["n"]):
-            edges = checkpoint(small)
-            after = edges.agg(
-                F.count("*").alias("n"),
-                F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-            ).first()
+        edges = checkpoint(small)
+        after = edges.agg(
+            F.count("*").alias("n"),
+            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
+        ).first()
         if after == before:
             break
         before = after
