@@ -27,7 +27,7 @@ def _folder(spark: SparkSession) -> str:
 
 def _built(spark: SparkSession, sf_dir: str, language: str | None = None) -> str:
     """The index of all records, in two batches: the first has every fifth in an old version and lacks every third."""
-    root, rows = _folder(spark), saved(records(spark, sf_dir))
+    root, rows = _folder(spark), records(spark, sf_dir)
     early = rows.where("memory_id % 3 <> 0")
     old = early.withColumn("content", F.when(F.col("memory_id") % 5 == 0, F.concat(F.lit("the "), F.reverse("content"))).otherwise(F.col("content")))
     K.add(old, S.indexed_text(old), root, 1, language)
