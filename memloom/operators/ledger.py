@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Which authority may supersede which, and the order of states.
@@ -177,6 +177,39 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows, so that a few large groups aren't joined in a task each."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, size: Column | None = None) -> DataFrame:
+    """``df`` with ``name``, the place of each row in its group by ``order``, from 1; with ``size`` also ``name_total``, its sum so far.
+
+    A group may hold nearly all rows: they are sorted over all tasks by ranges, counted within
+    each range, and go on from what the ranges before have of their group. ``order`` is total.
+    """
+    made = df if size is None else df.withColumn("_size", size)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, so that small rows aren't put into few tasks
+    at = made.repartitionByRange(ranges, *group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id())
+    at = saved(at.withColumn("_part", F.shiftright("_at", 33)))
+    total = F.sum("_size") if size is not None else F.lit(0)
+    runs = at.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), total.cast("long").alias("_bytes"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    runs = runs.select(
+        *[F.col(g).alias(f"_{g}") for g in group], F.col("_part").alias("_run"), (so_far("_n") - F.col("_first") + 1).alias("_shift"), so_far("_bytes").alias("_held")
+    )
+    if size is not None:
+        at = at.withColumn(f"{name}_total", F.sum("_size").over(Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.col("_part") == F.col("_run")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    out = at.join(small(saved(runs)), same).withColumn(name, F.col("_at") + F.col("_shift"))
+    if size is not None:
+        out = out.withColumn(f"{name}_total", F.col(f"{name}_total") + F.col("_held"))
+    return out.drop("_at", "_part", "_size", "_run", "_shift", "_held", *[f"_{g}" for g in group])
+
+
 def reconcile(old: DataFrame, new: DataFrame, scan_complete: bool = True) -> DataFrame:
     """``logical_key, action``: what turns the heads of a lineage into the candidates.
 

@@ -13,6 +13,7 @@ from ..sources.projections import LEDGER_SQL, ledger, table
 def _ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as canonical lines, a ledger for each type; some are broken by their number."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.col("value").alias("v"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+    events = G.numbered(events, ["event_type"], ["event_id"], "line_number")
     at = F.col("event_id")
     odd = lambda k, a, b: F.when(at % 60 == k, a).otherwise(b)
     one_id = F.format_string("event-%05d", odd(1, (at % 120), at))
@@ -28,8 +29,7 @@ def _ledger_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('],"tags":'), odd(16, F.lit('["b","a"]'), odd(17, F.lit('"a"'), F.lit('["a","b"]'))), F.lit(',"title":"'), odd(18, F.lit("password=abcdefghij"), F.lit("Event")), F.lit('","triggers":[],"updated_at":"'), odd(19, F.lit("2001-01-01T00:00:00.000Z"), F.col("at")), F.lit('"}'),
     )
     line = odd(20, F.concat(line, F.lit("}")), odd(21, F.lit("[1]"), odd(22, F.lit("   "), odd(23, F.regexp_replace(line, ":\\[\\]", ": []"), line))))
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return events.select(F.col("event_type").alias("ledger"), number.cast("long").alias("line_number"), "event_id", line.alias("line"))
+    return events.select(F.col("event_type").alias("ledger"), "line_number", "event_id", line.alias("line"))
 
 
 #: ``_ledger_lines`` with the rule that each line breaks, told from its number.
@@ -94,10 +94,10 @@ def ledger_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third line of the strict ledgers appended to the ledger of those before that are good."""
-    lines = S.checked(_ledger_lines(spark, sf_dir)).select("ledger", "line_number", "line", "rule")
+    lines = G.saved(S.checked(_ledger_lines(spark, sf_dir)).select("ledger", "line_number", "line", "rule"))
     mark = F.col("line_number") % 3 == 0
-    number = F.row_number().over(Window.partitionBy("ledger").orderBy("line_number")).cast("long")
-    held = G.saved(lines.where(~mark & F.col("rule").isNull()).withColumn("line_number", number).drop("rule"))
+    good = lines.where(~mark & F.col("rule").isNull()).select("ledger", F.col("line_number").alias("place"), "line")
+    held = G.saved(G.numbered(good, ["ledger"], ["place"], "line_number").select("ledger", "line_number", "line"))
     more = lines.where(mark).select("ledger", F.col("line_number").alias("place"), "line")
     attested = S.attestation(held).withColumn("digest", F.when(F.col("ledger") == "signup", F.lit("another")).otherwise(F.col("digest")))
     after, refused = S.appended(held, more, attested)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CREDENTIALS
+from ..operators.ledger import numbered, saved, small
 
 # Task functions travel with the job, so executors need no copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,10 +49,12 @@ class NotCanonical(ValueError):
 
 _SHORT = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 _ESCAPED = re.compile('["\\\\\x00-\x1f]')
+_ENCODED = json.JSONEncoder(separators=(",", ":"), sort_keys=True).encode
+_HALF = re.compile("[\ud800-\udfff]")
 
 
 def _text(value: str) -> str:
-    if any("\ud800" <= c <= "\udfff" for c in value):
+    if _HALF.search(value):
         raise NotCanonical
     return '"' + _ESCAPED.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", value) + '"'
 
@@ -202,12 +205,43 @@ def _values(value: object) -> Iterator[object]:
         yield value
 
 
-_SECRET = re.compile("|".join(f"(?:{p})" for p in CREDENTIALS), re.IGNORECASE)
+#: What any match of each pattern of ``CREDENTIALS`` holds in lower case, so that few lines are searched by it.
+_MARKS = (
+    ("private key-----",), ("sk-",), ("sk_",), ("gh",), ("github_pat_",), ("xox",), ("akia", "asia"), ("glpat-",), ("sk_live_",), ("aiza",), ("eyj",), ("://",),
+    ("password", "passwd", "token", "secret", "api"),
+)
+_SECRETS = [(marks, re.compile(p, re.IGNORECASE)) for marks, p in zip(_MARKS, CREDENTIALS, strict=True)]
+
+
+def _secret(text: str) -> bool:
+    """Whether a text of ASCII characters holds a credential."""
+    lower = text.lower()
+    return any(any(m in lower for m in marks) and p.search(text) is not None for marks, p in _SECRETS)
+
+
+#: In the JSON of a value, what may be half a surrogate pair or a number that no double holds.
+_DOUBTFUL = re.compile(r"\\ud|[0-9]{16}|NaN|Infinity")
+#: Numbers that Python may write otherwise than ECMAScript, and escapes of what is written as it is.
+_WRITTEN_OTHERWISE = re.compile(r"\\u|\.0(?![0-9])|[0-9][eE]|[0-9]{16}|NaN|Infinity")
+
 
+def _shallow(text: str) -> bool:
+    return text.count("{") + text.count("[") < 200
 
-def _portable(value: object) -> bool:
+
+def _is_canonical(value: object, line: str) -> bool:
+    """Whether ``canonical`` gives the line; ASCII without doubtful numbers is written alike by ``json``."""
+    if line.isascii() and _shallow(line) and not _WRITTEN_OTHERWISE.search(line) and _ENCODED(value) == line:
+        return True
+    return canonical(value) == line
+
+
+def _portable(value: object, text: str) -> bool:
+    """Whether strings are whole and numbers fit a double; ``text`` is the value's JSON in ASCII."""
+    if _shallow(text) and not _DOUBTFUL.search(text):
+        return True
     for v in _values(value):
-        if isinstance(v, str) and any("\ud800" <= c <= "\udfff" for c in v):
+        if isinstance(v, str) and _HALF.search(v):
             return False
         if type(v) is int and abs(v) >= 1 << 53 or type(v) is float and not math.isfinite(v):
             return False
@@ -223,9 +257,10 @@ def _event_rule(e: dict) -> bool:
     decides = e["kind"] in ("decision", "preference")
     place = lambda s: (_units(s["path"]), s.get("start_line") or 0, _units(s.get("symbol") or ""))
     sources = e.get("sources", [])
+    text = _ENCODED(e)
     return (
-        _portable(e)
-        and not _SECRET.search(json.dumps(e, separators=(",", ":"), sort_keys=True))
+        _portable(e, text)
+        and not _secret(text)
         and changed >= made
         and e["id"] not in lists["supersedes"]
         and e["sensitivity"] in ("public", "internal")
@@ -293,7 +328,7 @@ def broken_rule(line: str) -> tuple[str | None, str | None]:
     if at is not None:
         return None, f"invalid {at.lstrip('.') or 'event'}"
     try:
-        return record["id"], None if canonical(record) == line else "not canonical"
+        return record["id"], None if _is_canonical(record, line) else "not canonical"
     except NotCanonical:
         return record["id"], "cannot be canonical"
 
@@ -363,14 +398,14 @@ def attestation(lines: DataFrame, upto: DataFrame | None = None) -> DataFrame:
     hashes of ``FOLD`` lines in order together, then those, until one is left. No task holds
     more than ``FOLD`` hashes of a ledger.
     """
-    numbered = lines.select("ledger", F.col("line_number").cast("long").alias("at"), "line")
+    lined = lines.select("ledger", F.col("line_number").cast("long").alias("at"), "line")
     if upto is not None:
-        bound = upto.select(F.col("ledger").alias("_l"), F.col("n_lines").alias("_n"))
-        numbered = numbered.join(bound, (F.col("ledger") == F.col("_l")) & (F.col("at") <= F.col("_n"))).drop("_l", "_n")
-    level = numbered.select(
+        bound = small(upto.select(F.col("ledger").alias("_l"), F.col("n_lines").alias("_n")))
+        lined = lined.join(bound, (F.col("ledger") == F.col("_l")) & (F.col("at") <= F.col("_n"))).drop("_l", "_n")
+    level = lined.select(
         "ledger", "at", F.lit(1).cast("long").alias("n_lines"), (F.octet_length("line") + 1).cast("long").alias("size_bytes"), F.sha2("line", 256).alias("digest")
     )
-    most = numbered.agg(F.max("at")).first()[0] or 1
+    most = lined.agg(F.max("at")).first()[0] or 1
     while True:
         # Lines are numbered from 1, the blocks of a level from 1 again.
         level = level.groupBy("ledger", F.floor((F.col("at") - 1) / FOLD).alias("block")).agg(
@@ -424,18 +459,18 @@ def appended(lines: DataFrame, more: DataFrame, attested: DataFrame, most_bytes:
     lines that are left follow in the order of ``place``.
     """
     state = attestation(lines)
-    known = extension(attested, lines, most_bytes).select("ledger", F.col("verdict").alias("_verdict"))
-    size = state.select("ledger", F.col("n_lines").alias("_n"), F.col("size_bytes").alias("_bytes"))
+    known = small(saved(extension(attested, lines, most_bytes).select("ledger", F.col("verdict").alias("_verdict"))))
+    size = small(saved(state.select("ledger", F.col("n_lines").alias("_n"), F.col("size_bytes").alias("_bytes"))))
     both = lines.select("ledger", "line_number", "line").unionByName(
         more.join(size.select("ledger", "_n"), "ledger", "left").select("ledger", (F.coalesce("_n", F.lit(0)) + F.col("place")).alias("line_number"), "line")
     )
     new = checked(both).join(size, "ledger", "left").where(F.col("line_number") > F.coalesce("_n", F.lit(0)))
     new = new.join(known, "ledger", "left")
     stale = F.coalesce("_verdict", F.lit("same")) != "same"
-    new = new.withColumn("rule", F.when(stale, "ledger changed").otherwise(F.col("rule")))
-    order = Window.partitionBy("ledger", F.col("rule").isNull()).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.coalesce("_bytes", F.lit(0)) + F.sum(F.octet_length("line") + 1).over(order)
-    new = new.withColumn("rule", F.coalesce("rule", F.when(total > most_bytes, "too large")))
-    number = F.coalesce("_n", F.lit(0)) + F.row_number().over(Window.partitionBy("ledger", F.col("rule").isNull()).orderBy("line_number"))
-    good = new.withColumn("line_number", number).where("rule IS NULL").select("ledger", F.col("line_number").cast("long"), "line")
-    return lines.select("ledger", F.col("line_number").cast("long"), "line").unionByName(good), new.where("rule IS NOT NULL").select("ledger", "line", "rule")
+    new = saved(new.withColumn("rule", F.when(stale, "ledger changed").otherwise(F.col("rule"))))
+    # What passes the bound is the end of a ledger's good lines, so their places are also those of the lines kept.
+    placed = numbered(new.where("rule IS NULL"), ["ledger"], ["line_number"], "place", F.octet_length("line") + 1)
+    fits = F.coalesce("_bytes", F.lit(0)) + F.col("place_total") <= most_bytes
+    good = placed.where(fits).select("ledger", (F.coalesce("_n", F.lit(0)) + F.col("place")).cast("long").alias("line_number"), "line")
+    refused = new.where("rule IS NOT NULL").select("ledger", "line", "rule").unionByName(placed.where(~fits).select("ledger", "line", F.lit("too large").alias("rule")))
+    return lines.select("ledger", F.col("line_number").cast("long"), "line").unionByName(good), refused

@@ -4,10 +4,12 @@ import json
 import re
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from memloom.functions.english import stem
 from memloom.operators import keyword_index, ledger, retrieval
+from memloom.plans import strict
 from memloom.sources import ignore, strict_ledger
 
 
@@ -176,3 +178,24 @@ def test_pairs_meet_on_terms(spark):
     df = spark.createDataFrame(rows, "g string, id long, t string")
     assert [tuple(r) for r in retrieval.contradictions(df, "g", "id", "t").collect()] == [("g", 1, 2, 3)]
     assert re.fullmatch(ignore.glob_pattern("**/[!a]?.ts"), "x/b1.ts")
+
+
+def test_lines_of_one_ledger_are_numbered_over_several_tasks(spark):
+    lines = strict._ledger_lines(spark, f"{DATA}/sf0.001")
+    assert lines.select("ledger", F.spark_partition_id().alias("task")).distinct().groupBy("ledger").count().agg(F.max("count")).first()[0] > 1
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 2).alias("g"), (F.col("id") * 7919 % 1009).alias("at"))
+    got = {(r["g"], r["at"]): (r["k"], r["k_total"]) for r in ledger.numbered(rows, ["g"], ["at"], "k", F.col("at")).collect()}
+    want, seen = {}, {}
+    for g, at in sorted(((r["g"], r["at"]) for r in rows.collect()), key=lambda x: x[1]):
+        n, total = seen.get(g, (0, 0))
+        seen[g] = want[g, at] = (n + 1, total + at)
+    assert got == want
+
+
+def test_what_passes_the_bound_of_an_append_is_refused(spark):
+    line = lambda i: strict_ledger.canonical(GOOD | {"id": f"evt-{i}"})
+    held = spark.createDataFrame([("a", 1, line(1)), ("a", 2, line(2))], "ledger string, line_number long, line string")
+    more = spark.createDataFrame([("a", 1, line(2)), ("a", 2, line(3)), ("a", 3, "no"), ("a", 4, line(4)), ("a", 5, line(5))], "ledger string, place long, line string")
+    after, refused = strict_ledger.appended(held, more, strict_ledger.attestation(held), most_bytes=4 * (len(line(1)) + 1))
+    assert sorted((r["line_number"], r["line"]) for r in after.collect()) == [(i, line(i)) for i in (1, 2, 3, 4)]
+    assert sorted((r["line"], r["rule"]) for r in refused.collect()) == sorted([(line(2), "duplicate id"), ("no", "invalid json"), (line(5), "too large")])
