@@ -19,6 +19,14 @@ def retrieval_metrics(retrieved: DataFrame, relevant: DataFrame, keys: Sequence[
     good = relevant.select(*keys, "item").distinct()
     counts = good.groupBy(*keys).agg(F.count("*").alias("n_relevant"))
     marked = retrieved.join(good.withColumn("hit", F.lit(1)), [*keys, "item"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return marked_metrics(marked, counts, keys, cuts, gain_at)
+
+
+def marked_metrics(marked: DataFrame, counts: DataFrame, keys: Sequence[str], cuts: Sequence[int] = (5, 10), gain_at: int = 10) -> DataFrame:
+    """``retrieval_metrics`` where relevant items are known by a mark, so that not all of them are listed.
+
+    ``marked`` has ``keys, item, place, hit`` (0 or 1), ``counts`` has ``keys, n_relevant``.
+    """
     gain = F.when((F.col("hit") == 1) & (F.col("place") <= gain_at), 1 / F.log2(F.col("place") + 1)).otherwise(0.0)
     sums = marked.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("place") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}") for k in cuts],

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
 from .filters import Request
+from .ledger import saved
+
+# Task functions travel with the job, so executors need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K1, B = 1.2, 0.75
 FULL_TEXT_WEIGHT, VECTOR_WEIGHT = 0.55, 0.45
@@ -192,19 +200,76 @@ def both_directions(edges: DataFrame) -> DataFrame:
     )
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 256, column: str = "embedding") -> DataFrame:
+def _blocks(vectors: DataFrame, key: str, column: str, rows: int) -> DataFrame:
+    """``dim, keys, matrix``: up to ``rows`` vectors of one length as bytes; without components that count, zeros."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, values = batch.column("key").to_numpy(zero_copy_only=False), batch.column("v").to_pylist()
+            sizes = np.array([len(v) for v in values])
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                for part in (own[i : i + rows] for i in range(0, len(own), rows)):
+                    numbers = np.array([[np.nan] * dim if any(x is None for x in values[i]) else values[i] for i in part], np.float64).reshape(len(part), dim)
+                    null = np.array([any(x is None for x in values[i]) for i in part])
+                    numbers[null] = 0.0
+                    yield pa.RecordBatch.from_pydict({"dim": [int(dim)], "keys": [keys[part].astype(np.int64).tobytes()], "matrix": [numbers.tobytes()]})
+
+    usable = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v"))
+    return saved(usable.mapInArrow(pack, "dim long, keys binary, matrix binary"))
+
+
+def _sized(matrix: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(matrix))
+    for d in range(matrix.shape[1]):
+        total += matrix[:, d] * matrix[:, d]
+    return np.sqrt(total)
+
+
+def _near(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of two blocks, added up in the order of components as ``V.cosine`` does; 0 for zero vectors."""
+    total = np.zeros((len(q), len(v)))
+    for d in range(q.shape[1]):
+        total += q[:, d, None] * v[None, :, d]
+    sizes = _sized(q)[:, None] * _sized(v)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(sizes == 0, 0.0, total / sizes)
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", block: int = 2048, column: str = "embedding") -> DataFrame:
     """``query, key, similarity, place``: for each query vector its ``k`` nearest other vectors.
 
-    The queries are a stated set; ``block`` of them at a time are sent to all tasks and held
-    against every vector, and each task keeps ``k`` rows a query before the shuffle.
+    Keys are whole numbers. Every pair of a block of queries and one of vectors is a row, whose
+    cosines are found at once; of them go on, for each query, those that similarities rounded to
+    six places may put among its ``k`` best, of equal ones the ``k`` smallest keys. The work is
+    that of all pairs, in bounded memory and over all tasks.
     """
-    n = queries.count()
-    parts, out = max(1, -(-n // block)), None
-    for part in range(parts):
-        own = queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(F.col(key).alias("query"), F.col(column).alias("_q"))
-        pairs = vectors.join(F.broadcast(own), (F.size(column) == F.size("_q")) & (F.col(key) != F.col("query")))
-        rows = pairs.select("query", key, F.round(V.cosine(F.col(column), F.col("_q")), 6).alias("similarity"))
-        order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc(key))
-        found = rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
-        out = found if out is None else out.unionByName(found)
-    return out
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, others = (np.frombuffer(row[c], np.int64) for c in ("_ids", "keys"))
+                q, v = (np.frombuffer(row[c], np.float64).reshape(len(n), row["dim"]) for c, n in (("_queries", ids), ("matrix", others)))
+                order = np.argsort(others, kind="stable")
+                others, v = others[order], v[order]
+                for a in range(0, len(ids), 64):
+                    near = _near(q[a : a + 64], v)
+                    near[np.isnan(near)] = np.inf  # before all numbers, as in Spark's order
+                    near[ids[a : a + 64, None] == others[None, :]] = -np.inf
+                    least = np.partition(near, -k, axis=1)[:, -k] if len(others) > k else np.full(len(near), -np.inf)
+                    at, to = np.nonzero((near >= least[:, None] - 2e-6) & (near > -np.inf))
+                    value = near[at, to]
+                    place = np.lexsort((to, -value, at))
+                    at, to, value = at[place], to[place], value[place]
+                    begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (value[1:] != value[:-1])]) if len(at) else np.zeros(0, np.int64)
+                    rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+                    use = rank < k
+                    value = np.where(np.isinf(value), np.nan, value)[use]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + at[use]]), pa.array(others[to[use]]), pa.array(value)], ["query", key, "similarity"])
+
+    spread = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = _blocks(queries, key, column, block).select(F.col("dim").alias("_dim"), F.col("keys").alias("_ids"), F.col("matrix").alias("_queries"))
+    pairs = _blocks(vectors, key, column, block).repartition(spread).crossJoin(own).where("dim = _dim").drop("_dim")
+    rows = pairs.mapInArrow(hold, f"query long, {key} long, similarity double").withColumn("similarity", F.round("similarity", 6))
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), F.asc(key))
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)

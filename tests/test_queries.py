@@ -55,3 +55,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_nearest_vectors_equal_brute_force_and_take_blocks(spark):
+    import numpy as np
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from memloom.functions import vector
+    from memloom.operators.retrieval import nearest_of_each
+
+    r = np.random.default_rng(5)
+    made = [list(map(float, x)) for x in r.integers(-2, 3, (150, 4))] + [[1.0, 2.0, 3.0, 4.0]] * 60 + [[0.0] * 4, [1.0, 2.0], [3.0, 1.0], [1.0, None, 2.0, 0.0], [], None]
+    rows = spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<double>")
+    queries = rows.where("vec_id % 5 = 0 OR vec_id > 205")
+    pairs = rows.join(queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), (F.size("embedding") == F.size("q")) & (F.col("vec_id") != F.col("query")) & F.col("embedding").isNotNull() & F.col("q").isNotNull())
+    near = pairs.select("query", "vec_id", F.round(vector.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    want = near.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "vec_id")).cast("long")).where("place <= 7")
+    found = nearest_of_each(rows, queries, 7, block=16)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
