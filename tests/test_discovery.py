@@ -199,3 +199,15 @@ def test_what_passes_the_bound_of_an_append_is_refused(spark):
     after, refused = strict_ledger.appended(held, more, strict_ledger.attestation(held), most_bytes=4 * (len(line(1)) + 1))
     assert sorted((r["line_number"], r["line"]) for r in after.collect()) == [(i, line(i)) for i in (1, 2, 3, 4)]
     assert sorted((r["line"], r["rule"]) for r in refused.collect()) == sorted([(line(2), "duplicate id"), ("no", "invalid json"), (line(5), "too large")])
+
+
+def test_guards_of_a_long_lineage_take_few_rounds(spark, monkeypatch):
+    rows = [(1, "human", [])] + [(i, "human", [i - 1]) for i in range(2, 301)]  # a chain down to the managed 1
+    rows += [(400, "tool", [300, 401]), (401, "agent", [402]), (402, "agent", [401, 403]), (403, "agent", [404]), (404, "agent", [500])]  # branches, a circle
+    rows += [(500, "human", [])] + [(600, "tool", [601])] + [(i, "agent", [i + 1 if i < 605 else 601]) for i in range(601, 606)]  # a circle that leads nowhere
+    events = spark.createDataFrame(rows, "id long, authority string, supersedes array<long>")
+    managed = spark.createDataFrame([(1, "a"), (500, "b"), (700, "c")], "id long, logical_key string")
+    written, real = [], ledger.saved
+    monkeypatch.setattr(ledger, "saved", lambda df: written.append(1) or real(df))
+    assert sorted(map(tuple, ledger.lineage_guards(events, managed).collect())) == [("a", True, False), ("b", True, False)]
+    assert len(written) < 30
