@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 DEPTHS = 8
 #: Characters of a chunk that a source reference quotes.
 EXCERPT = 500
+#: Bytes of text whose lines a task holds and sorts, about; their number of tasks grows with the files.
+TASK_BYTES = 2 << 20
 #: Kinds of chunks that stand for themselves in relations, and those that name entities.
 RELATED_KINDS = ("import", "class", "function", "method", "interface", "type_alias", "artifact")
 ENTITY_KINDS = ("class", "function", "method", "interface", "type_alias")
@@ -37,7 +39,10 @@ _QUIET = r"""//.*$|/\*.*?\*/|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)
 
 def _lines(files: DataFrame) -> DataFrame:
     """``path, language, line, text, depth, blank``: depth is that before the line, and of a closing brace that after it."""
-    rows = files.where(F.col("language").isNotNull()).select("path", "language", F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    own = files.where(F.col("language").isNotNull())
+    size = own.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+    tasks = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    rows = own.repartition(tasks, "path").select("path", "language", F.posexplode(F.split("content", "\n")).alias("line", "text"))
     rows = rows.withColumn("line", F.col("line") + 1)
     quiet = F.regexp_replace("text", _QUIET, "")
     opened, closed = F.regexp_count(quiet, F.lit(r"\{")), F.regexp_count(quiet, F.lit(r"\}"))

@@ -83,3 +83,13 @@ def test_relations_leave_out_known_ones(spark):
     got = {tuple(r) for r in code_chunks.relations(found, links, known).select("src", "relation", "dst").collect()}
     assert ("s.ts::f", "defined_in", "s.ts") not in got
     assert {("s.ts::import", "derived_from", "a.ts"), ("s.ts::A.make", "related_to", "s.ts::A"), ("s.test.ts::f", "supports", "s.ts::f"), ("s.ts::f.g", "related_to", "s.ts::f")} <= got
+
+
+def test_lines_are_spread_over_more_tasks_where_files_are_larger(spark, monkeypatch):
+    from memloom.operators import code_chunks
+
+    monkeypatch.setattr(code_chunks, "TASK_BYTES", 500)
+    files = spark.createDataFrame([(f"a{i}.py", "python", "def f():\n    return 1\n" * 10) for i in range(40)], "path string, language string, content string")
+    found = code_chunks._lines(files)
+    assert found.rdd.getNumPartitions() == -(-40 * 220 // 500)
+    assert found.count() == 40 * 21 and code_chunks.chunks(files).where("kind = 'function'").count() == 400
