@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of 24 words, and shorter ones for short items, are weighed by TF-IDF, with document
-frequencies of the whole corpus, and projected on the leading right singular vectors of a sample
-of passages, which a distributed randomised SVD finds. Only words that the benchmark has are
+frequencies of the whole corpus, and projected on the leading right singular vectors of all of
+them, which a distributed randomised SVD finds. Only words that the benchmark has are
 projected; the others are taken as directions of their own, at right angles to all of these, and
 lower a passage's cosine by their share of its weight. Passages of documents whose cosine with one
 of a benchmark item is high are candidates. They are verified on words: the longest common
@@ -34,9 +34,12 @@ SHORT_ITEM = 15
 #: Items of more words are searched by parts of so many.
 LONG_ITEM = 512
 SHORT_PASSAGES = ((3, 1), (6, 2), (8, 2), (12, 3))
-#: The SVD is fitted on so many documents, chosen by a hash of their ids, and passages of each.
-FIT_DOCUMENTS = 1_000
-FIT_PASSAGES = 20
+#: The SVD is fitted on the products of words over all passages of all documents, in whole numbers of one part in so many.
+UNIT = 1 << 30
+#: Pairs of words that a task merges at once at least, that it holds before it hands them on, and those of a block, about.
+MERGED_AT, TASK_PAIRS, BLOCK_PAIRS = 1 << 19, 1 << 22, 1 << 21
+#: Numbers of a dense piece of the products.
+DENSE = 1 << 22
 #: Words in a larger share of the documents weigh nothing, unless too few of the benchmark's are left.
 STOP_SHARE = 0.1
 KEPT_SHARE = 0.25
@@ -167,36 +170,152 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[1:], int(df[0])
 
 
-def singular_vectors(docs: DataFrame, extra: list[np.ndarray], vocabulary: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF rows, over a vocabulary, of sampled passages and of ``extra``.
+def pair_sums(words: np.ndarray, rows: np.ndarray, n: int, vocabulary: np.ndarray, weights: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """What the passages of ``n`` texts add to A'A, A their unit TF-IDF rows over a vocabulary, and the number of passages.
 
-    Strong ones are divided by their singular values, so that the few directions which all
-    passages share weigh no more than those that tell passages apart.
+    Pairs of words are named by first * size + second, first <= second, once each. Products are
+    whole numbers of ``UNIT``, so that sums don't depend on how the texts are dealt to tasks.
+    """
+    size = len(vocabulary)
+    cells = places(words, vocabulary)
+    start, owner = passages(rows, n)
+    end = np.minimum(start + PASSAGE, np.searchsorted(rows, owner, "right"))
+    inside = np.concatenate([[0], np.cumsum(cells < size)])
+    use = inside[end] - inside[start] > 1
+    start, end = start[use], end[use]
+    heavy = np.append(weights > 0, False)
+    at = np.flatnonzero(heavy[cells])
+    first, count = np.searchsorted(at, start), np.searchsorted(at, end) - np.searchsorted(at, start)
+    first, count = first[count > 0], count[count > 0]
+    if not len(first):
+        return int(use.sum()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.cumsum(count) - count
+    within = np.arange(count.sum()) - np.repeat(begins, count)
+    cell = cells[at[np.repeat(first, count) + within]]
+    weight = weights[cell]
+    value = weight / np.repeat(np.sqrt(np.add.reduceat(weight * weight, begins)), count)
+    left = np.repeat(count, count) - within
+    keys, sums = [], []
+    for step in range(int(count.max())):
+        one = np.flatnonzero(left > step)
+        other = one + step
+        low, high = np.minimum(cell[one], cell[other]), np.maximum(cell[one], cell[other])
+        product = np.rint(value[one] * value[other] * UNIT).astype(np.int64)
+        keys.append(low * size + high)
+        sums.append(np.where((low == high) & (step > 0), 2 * product, product))
+    return int(use.sum()), *_added(np.concatenate(keys), np.concatenate(sums))
+
+
+def _added(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, sorted, with the sum of its numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begins], np.add.reduceat(sums[order], begins) if len(keys) else sums
+
+
+class _Sums:
+    """Sums by key that grow by arrays; the newer ones are merged when they are as many as the older."""
+
+    def __init__(self) -> None:
+        self.n, self.old, self.new, self.waiting = 0, (np.zeros(0, np.int64),) * 2, [], 0
+
+    def add(self, n: int, keys: np.ndarray, sums: np.ndarray) -> None:
+        self.n += n
+        self.new.append((keys, sums))
+        self.waiting += len(keys)
+        if self.waiting > max(len(self.old[0]), MERGED_AT):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.old, *self.new]
+        self.old, self.new, self.waiting = _added(*(np.concatenate(x) for x in zip(*parts, strict=True))), [], 0
+        return self.old
+
+
+_SUMS = "block int, n long, keys binary, sums binary"
+
+
+def _packed(block: int, n: int, keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
+        names=["block", "n", "keys", "sums"],
+    )
+
+
+def word_products(docs: DataFrame, vocabulary: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """``block, n, keys, sums``: A'A over all passages of all documents, in packed rows of whole numbers (see ``pair_sums``).
 
-    A small vocabulary is filled up with words that never occur. Each power step sends the current basis to all tasks and adds up A'(AX) from theirs.
+    Each task adds up its own passages; the sums are shuffled by blocks of first words, so many
+    that a block has at most about ``BLOCK_PAIRS`` pairs, and added up as they come in.
     """
-    ids = [
-        r[0]
-        for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(FIT_DOCUMENTS).collect()
-    ]
-    spark = docs.sparkSession
-    sample = docs.where(F.col("doc_id").isin(ids)).select(F.col("text").cast("string").alias("text"))
+    size = len(vocabulary)
+    blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * size // (2 * BLOCK_PAIRS)))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, weights))
+
+    def parts(total: _Sums) -> Iterator[pa.RecordBatch]:
+        keys, sums = total.merge()
+        block = keys // max(size, 1) % blocks
+        order = np.argsort(block, kind="stable")
+        bounds = np.searchsorted(block[order], np.arange(blocks + 1)).tolist()
+        yield _packed(0, total.n, keys[:0], sums[:0])
+        for k in range(blocks):
+            own = order[bounds[k] : bounds[k + 1]]
+            if len(own):
+                yield _packed(k, 0, keys[own], sums[own])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Sums()
         for batch in text_slices(batches):
-            words, rows = words_of(*text_buffers(batch.column("text")))
-            start, owner = passages(rows, batch.num_rows)
-            first = np.searchsorted(owner, owner)
-            start, owner = (x[np.arange(len(owner)) - first < FIT_PASSAGES] for x in (start, owner))
-            cells, ends = places(words, vocabulary), np.searchsorted(rows, owner, "right")
-            rows_out = [cells[a : min(a + PASSAGE, e)] for a, e in zip(start.tolist(), ends.tolist(), strict=True)]
-            rows_out = [r[r < len(vocabulary)].astype(np.int32) for r in rows_out]
-            rows_out = [r for r in rows_out if len(r) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array(rows_out, pa.list_(pa.int32()))], names=["dims"])
+            total.add(*pair_sums(*words_of(*text_buffers(batch.column("text"))), batch.num_rows, *shared.value))
+            if len(total.old[0]) > TASK_PAIRS:
+                yield from parts(total)
+                total = _Sums()
+        yield from parts(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _Sums()
+        for batch in batches:
+            for n, keys, sums in zip(*(batch.column(c).to_pylist() for c in ("n", "keys", "sums")), strict=True):
+                total.add(n, np.frombuffer(keys, np.int64), np.frombuffer(sums, np.int64))
+        keys, sums = total.merge()
+        if total.n or len(keys):
+            yield _packed(0, total.n, keys, sums)
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    out = checkpoint(texts.mapInArrow(count, _SUMS).repartition(blocks, "block").mapInArrow(add, _SUMS))
+    shared.destroy()
+    return out
+
+
+def _times(keys: np.ndarray, sums: np.ndarray, size: int, basis: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` the product of these pairs of A'A with a basis, as dense rows of at most ``DENSE`` numbers at once."""
+    first, second = keys // size, keys % size
+    order = np.argsort(first, kind="stable")
+    first, second, value = first[order], second[order], (sums[order] / UNIT).astype(np.float32)
+    own, local = np.unique(first, return_inverse=True)
+    step = max(1, DENSE // size)
+    bounds = np.searchsorted(local, np.arange(0, len(own) + step, step)).tolist()
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        rows = own[k * step : (k + 1) * step]
+        dense = np.zeros((len(rows), size), np.float32)
+        dense[local[a:b] - k * step, second[a:b]] = value[a:b]
+        out[rows] += dense @ basis[:size]
+        dense[np.arange(len(rows)), rows] = 0
+        out[:size] += dense.T @ basis[rows]
+
 
-    kept = checkpoint(sample.mapInArrow(cut, "dims array<int>").coalesce(4))
+def singular_vectors(docs: DataFrame, extra: list[np.ndarray], vocabulary: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF rows, over a vocabulary, of all passages of all documents and of ``extra``.
 
+    Strong ones are divided by their singular values, so that the few directions which all
+    passages share weigh no more than those that tell passages apart.
+
+    A small vocabulary is filled up with words that never occur. The documents are read once, for A'A; each power step
+    sends the current basis to the tasks that hold it and adds up their products.
+    """
+    spark, size = docs.sparkSession, len(vocabulary)
+    kept = word_products(docs, vocabulary, weights)
     small = weights.astype(np.float32)  # one kind of number throughout, else the sums below are slow
 
     def gram(rows: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
@@ -206,23 +325,26 @@ def singular_vectors(docs: DataFrame, extra: list[np.ndarray], vocabulary: np.nd
             np.add.at(out, row, scale[:, None] * (scale @ basis[row]))
         return out
 
-    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(3)).standard_normal((max(len(vocabulary), RANK + OVERSAMPLE), RANK + OVERSAMPLE), np.float32))[0]
+    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(3)).standard_normal((max(size, RANK + OVERSAMPLE), RANK + OVERSAMPLE), np.float32))[0]
     own = list(extra)
-    boost = max(1.0, BENCHMARK_SHARE / (1 - BENCHMARK_SHARE) * kept.count() / max(len(own), 1))
+    passages_of_all = kept.agg(F.sum("n")).first()[0] or 0
+    boost = max(1.0, BENCHMARK_SHARE / (1 - BENCHMARK_SHARE) * passages_of_all / max(len(own), 1))
     for _ in range(POWER_STEPS + 1):
         shared = spark.sparkContext.broadcast(basis)
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             out = np.zeros_like(shared.value)
             for batch in batches:
-                out += gram([np.asarray(x, np.int64) for x in batch.column("dims").to_pylist()], shared.value)
+                for keys, sums in zip(batch.column("keys").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                    if keys:
+                        _times(np.frombuffer(keys, np.int64), np.frombuffer(sums, np.int64), size, shared.value, out)
             some = np.flatnonzero(out.any(1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {"cells": pa.array([some.tobytes()], pa.binary()), "sum": pa.array([out[some].astype(np.float32).tobytes()], pa.binary())}
             )
 
         total = boost * gram(own, basis)
-        for r in kept.mapInArrow(step, "cells binary, sum binary").collect():  # at most a matrix of fixed size from each of 4 tasks
+        for r in kept.coalesce(4).mapInArrow(step, "cells binary, sum binary").collect():  # at most a matrix of fixed size from each of 4 tasks
             total[np.frombuffer(r["cells"], np.int32)] += np.frombuffer(r["sum"], np.float32).reshape(-1, total.shape[1])
         shared.destroy()
         last, basis = basis, np.linalg.qr(total)[0]

@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from memloom.llm import chat, components, decontam, fingerprints, langid, lines, minhash, mixing, quality, queries, secrets, substring
+from memloom.llm import chat, common, components, decontam, fingerprints, langid, lines, minhash, mixing, quality, queries, secrets, substring
 from memloom.llm.fmindex import FMIndex
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType())])
@@ -672,3 +673,31 @@ def test_leaks_with_many_words_replaced(spark, replaced):
     got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs_of(spark, texts), benchmark).collect()}
     want = {(k, k) for k in items}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_directions_are_fitted_on_all_passages(spark):
+    """The products of words equal a plain loop over every passage, however the documents are dealt; a long text counts to its end."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    texts = {i: prose(rng, 5, vocabulary) for i in range(1300)} | {2000: prose(rng, 900, vocabulary), 2001: None, 2002: ""}
+    known, _ = decontam.words_of(*common.text_buffers(pa.array(vocabulary[:60], pa.large_string())))
+    known = np.unique(known)
+    weights = np.where(np.arange(len(known)) % 7 == 0, 0.0, 1 + np.arange(len(known)) / 10)
+    want, n = np.zeros((len(known), len(known))), 0
+    for text in texts.values():
+        words, rows = decontam.words_of(*common.text_buffers(pa.array([text], pa.large_string())))
+        for a in decontam.passages(rows, 1)[0]:
+            own = decontam.places(words[a : a + decontam.PASSAGE], known)
+            own = own[own < len(known)]
+            if len(own) > 1:
+                n += 1
+                row = np.bincount(own, weights[own], len(known)) / max(np.sqrt((weights[own] ** 2).sum()), 1e-9)
+                want += np.outer(row, row)
+    for tasks in (1, 7):
+        found = decontam.word_products(docs_of(spark, texts).repartition(tasks), known, weights).collect()
+        got = np.zeros_like(want)
+        for r in found:
+            keys = np.frombuffer(r["keys"], np.int64)
+            got[keys // len(known), keys % len(known)] += np.frombuffer(r["sums"], np.int64) / decontam.UNIT
+        assert sum(r["n"] for r in found) == n
+        assert np.abs(got + np.triu(got, 1).T - want).max() < 1e-5
