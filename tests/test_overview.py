@@ -1,5 +1,7 @@
 """Overviews, writes and procedures on small and awkward tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,19 @@ def test_short_phrases_are_found_in_texts(spark):
     assert got == {("a", "xabcx"), ("ab", "xabcx"), ("abc", "xabcx"), ("a", "aab"), ("ab", "aab")}
 
 
+@pytest.mark.parametrize("find", ["contained", "containing"])
+def test_contained_texts_equal_a_plain_search(spark, monkeypatch, find):
+    """By runs and by substrings, with texts longer than are cut into substrings, repeats within a text, and two tenants."""
+    rng = random.Random(5)
+    text = lambda most: "".join(rng.choice("ab c") for _ in range(rng.randint(1, most)))
+    short = {(t, text(6)) for t in "xy" for _ in range(40)}
+    long = {(t, text(30)) for t in "xy" for _ in range(30)} | {("x", "abc" * 30), ("y", "\U0001f600" + "c a" * 25)}
+    monkeypatch.setattr(triggers, "SUBSTRINGS_OF", 20)
+    side = lambda name, rows: spark.createDataFrame(sorted(rows), f"tenant_id string, {name} string")
+    got = [tuple(r) for r in getattr(triggers, find)(side("short", short), side("long", long)).collect()]
+    assert sorted(got) == sorted((t, a, b) for t, a in short for u, b in long if t == u and a in b)
+
+
 def test_routes_without_a_model(spark):
     asked = spark.createDataFrame([("1", "t", "fast"), ("2", "none", "fast"), ("3", "t", "powerful")], "request_id string, task string, tier string")
     models = spark.createDataFrame([("m", "balanced", 1.0, ["t"]), ("n", "balanced", 0.5, ["t"]), ("o", "fast", 9.0, ["t"])], "model string, tier string, cost double, tasks array<string>")
