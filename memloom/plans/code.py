@@ -16,20 +16,27 @@ from ..sources import repository as Y
 from ..sources.projections import table
 
 
+#: Bytes of a method's text, about.
+METHOD_BYTES = 110
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     key, order = F.col("c_custkey").cast("string"), F.col("o_orderkey").cast("string")
     method = text("  order", order, "(priority: string): number {\n    if (priority === \"}\") { return 0 } // {\n    return ", F.col("o_orderstatus"), ";\n  }\n")
-    methods = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    orders, people = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    # By as many keys a task as make its share of text: few bytes of shuffle, as these texts are alike, would make few large tasks or a broadcast.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() * METHOD_BYTES // K.TASK_BYTES))
+    methods = orders.repartition(tasks, "o_custkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", method.alias("t")))), lambda x: x["t"]), "").alias("body")
     )
-    customers = table(spark, sf_dir, "customer").join(methods, "c_custkey", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    customers = people.repartition(tasks, "c_custkey").join(methods.hint("merge"), "c_custkey", "left").withColumn("body", F.coalesce("body", F.lit("")))
     own = customers.select(
         text("src/c", key, ".ts").alias("path"),
         text('import { N } from "./n', F.col("c_nationkey").cast("string"), '";\n\n/** Customer ', F.col("c_name"), ". */\nexport class C", key, " {\n", F.col("body"), "}\n\nexport function total", key,
              "() {\n  return 1;\n}\n\ntype T", key, " = string;\n").alias("content"),
     )
-    tests = customers.where("c_custkey % 5 = 0").select(
+    tests = people.where("c_custkey % 5 = 0").select(
         text("src/c", key, ".test.ts").alias("path"), text('import { total } from "./c', key, '";\nfunction total', key, "() {\n}\n").alias("content")
     )
     nations = table(spark, sf_dir, "nation").select(

@@ -93,3 +93,19 @@ def test_lines_are_spread_over_more_tasks_where_files_are_larger(spark, monkeypa
     found = code_chunks._lines(files)
     assert found.rdd.getNumPartitions() == -(-40 * 220 // 500)
     assert found.count() == 40 * 21 and code_chunks.chunks(files).where("kind = 'function'").count() == 400
+
+
+def test_written_files_are_spread_by_the_bytes_of_their_text(spark, monkeypatch, tmp_path):
+    """Texts that are alike take few bytes of shuffle, so they went by broadcast or into few tasks, whatever they take in memory."""
+    from memloom.plans import code
+
+    monkeypatch.setattr(code_chunks, "TASK_BYTES", 20_000)
+    spark.createDataFrame([(k, k % 5, f"n{k}") for k in range(40)], "c_custkey long, c_nationkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, k % 40, "F") for k in range(4000)], "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k,) for k in range(5)], "n_nationkey long").write.parquet(f"{tmp_path}/nation.parquet")
+    files = code._files(spark, str(tmp_path))
+    assert files.where("content LIKE '%class %'").rdd.getNumPartitions() >= 22
+    assert files.count() == 40 + 8 + 5
+    files.collect()
+    assert "BroadcastHashJoin" not in files._jdf.queryExecution().toString()
+    assert code_chunks.chunks(files).where("kind = 'method'").count() == 4000
