@@ -1,10 +1,13 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines are compared trimmed and lower-cased. Two lines within ``threshold`` edits share one of
-``threshold + 1`` segments of the shorter one at almost the same place, whatever the edits. So
-the segments of each line are indexed by length and number, and each line probes the indexes of
-its own length and of those up to ``threshold`` below with the few substrings that can match.
-Lines that meet are verified by a banded bit-parallel edit distance.
+Lines are compared trimmed and lower-cased. Of ``threshold + 1`` segments of a line one, the i-th,
+has no edit, at most i edits to its left and at most ``threshold - i`` to its right: with e edits so
+far, take the last i with e >= i. So a segment of the left half is found within i characters of its
+place from the start, and one of the right half within ``threshold - i`` of its place from the end,
+however much longer the other line is. Lengths form classes, whose lines have segments of one size;
+segments are indexed by class and number, and each line probes its class, and the one below if a line
+of it can be near enough, with the few substrings that can match. Lines that meet, and whose lengths
+are near enough, are verified by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -24,53 +27,39 @@ THRESHOLD = 3
 NULL_ID = -(2**63)
 
 
-def segments(n: Column, size: Column, parts: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of ``parts`` nearly equal segments of ``n`` characters.
+def _class_start(n: Column, threshold: int) -> Column:
+    """The least length of the class that length ``n`` is in.
 
-    ``size`` is ``n`` over ``parts``, rounded down; the last segments are longer by one.
+    A class is as wide as the third highest bit of its lengths, so the longest of its lines are longer than the shortest
+    by a quarter at most; it is wider than ``threshold``, so that lines that can be linked are in one class or in neighbouring ones.
     """
-    longer, out = n - size * parts, []
-    for i in range(parts):
-        extra = longer + (i - parts)  # how many of the longer ones come before segment i
-        out.append((size * i + F.greatest(F.lit(0), extra) + 1, size + F.when(extra >= 0, 1).otherwise(0)))
-    return out
+    bits = F.greatest(F.length(F.bin(n)) - 3, F.lit(threshold.bit_length()))
+    return F.call_function("shiftleft", F.call_function("shiftright", n, bits), bits)
 
 
-def signatures(threshold: int) -> tuple[list[Column], list[Column]]:
-    """Hashes of the indexed segments, and of the probing substrings, of ``line`` of ``chars`` characters.
+def signatures(threshold: int, start: Column) -> tuple[list[Column], list[Column]]:
+    """Hashes of the segments, and of the probing substrings, of ``line`` of ``chars`` characters for the class of ``start``.
 
-    A segment's hash holds the length of its line, its number and its characters. For a line as
-    long or shorter, of length l, segment i at p is probed at p - i' to p + (difference) + i''
-    where the shifts are those that leave few enough edits on both sides. A substring that the
-    line doesn't have is null.
+    All lines of a class have segments of one size. Those of the left half are counted from the line's start, the others
+    from its end, so that no length need be probed for itself. A segment's hash holds the class, its number and its characters.
     """
     parts, n = threshold + 1, F.col("chars")
+    size = F.floor(start / parts).cast("int")
     own: list[Column] = []
     probes: list[Column] = []
-    for less in range(threshold + 1):
-        for i in range(parts):
-            start, length = F.col(f"start{less}_{i}"), F.col(f"length{less}_{i}")
-            # edits left of the segment are at most i, right of it at most threshold - i
-            low = max(-i, less - (threshold - i))
-            high = min(i, less + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                key = F.xxhash64(n - less, F.lit(i), F.substring(F.col("line"), at, length))
-                found = F.when((at >= 1) & (at + length - 1 <= n), key)
-                (probes if less or shift else own).append(found)
+    for i in range(parts):
+        left = i < parts - i
+        most = i if left else threshold - i
+        at = size * i + 1 if left else n - size * (parts - i) + 1
+        for shift in range(-most, most + 1):
+            key = F.xxhash64(start, F.lit(i), F.substring(F.col("line"), at + shift, size))
+            if shift:
+                probes.append(F.when((at + shift >= 1) & (at + shift + size - 1 <= n), key))
+            else:
+                own.append(key)
     return own, probes
 
 
-def with_segments(lines: DataFrame, threshold: int) -> DataFrame:
-    """``lines`` with the columns that :func:`signatures` reads: start and length of the segments of each length."""
-    parts, made = threshold + 1, {}
-    for less in range(parts):
-        size = F.expr(f"CAST((chars - {less}) DIV {parts} AS INT)")
-        for i, (start, length) in enumerate(segments(F.col("chars") - less, size, parts)):
-            made |= {f"start{less}_{i}": start, f"length{less}_{i}": length}
-    return lines.withColumns(made)
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -206,29 +195,31 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return _lines(_keyed(docs))
 
 
-#: Keys that one select computes; the code made for more is too long for the JVM to compile well.
-KEYS_AT_ONCE = 11
-
-
 def _met(distinct: DataFrame, threshold: int) -> DataFrame:
-    """``bucket, node``: lines that share an indexed segment, or probe one, with another line."""
-    own, probes = signatures(threshold)
-    cut = with_segments(distinct, threshold)
+    """``bucket, node``: lines that share a segment, or probe one, with another line of nearly the same length."""
+    classed = distinct.select("node", "line", "chars", _class_start(F.col("chars"), threshold).alias("start")).withColumn(
+        "below", _class_start(F.greatest(F.col("chars") - threshold, F.lit(0)), threshold)
+    )
+    own, probes = signatures(threshold, F.col("start"))
+    lower = F.when(F.col("below") < F.col("start"), F.array(*[k for keys in signatures(threshold, F.col("below")) for k in keys]))
 
-    def each(keys: list[Column]) -> DataFrame:
+    def each(keys: Column) -> DataFrame:
         # keys are computed before they are exploded, and by an outer explode, so that they are computed once
-        keyed = lambda some: cut.select("node", F.array(*some).alias("keys")).select(F.explode_outer("keys").alias("bucket"), "node")
-        groups = [keyed(keys[k : k + KEYS_AT_ONCE]) for k in range(0, len(keys), KEYS_AT_ONCE)]
-        return reduce(DataFrame.union, groups).where("bucket IS NOT NULL")
-
-    index = each(own)
-    indexed = saved(index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("node")))
-    hits = checkpoint(each(probes).join(indexed.select("bucket"), "bucket", "left_semi"))
-    hit = checkpoint(hits.select("bucket").distinct())
-    again = checkpoint(indexed.where("n > 1").select("bucket"))
-    lone = indexed.where("n = 1").join(lookup(hit), "bucket", "left_semi").select("bucket", "node")
-    several = index.join(lookup(again), "bucket", "left_semi")
-    return checkpoint(hits.select("bucket", "node").union(lone).union(several).distinct())
+        rows = classed.select("node", "chars", keys.alias("keys")).select(F.explode_outer("keys").alias("bucket"), "node", "chars")
+        return rows.where("bucket IS NOT NULL")
+
+    index = each(F.array(*own))
+    indexed = saved(index.groupBy("bucket").agg(F.count("*").alias("n")))
+    probing = each(F.concat(F.array(*probes), F.coalesce(lower, F.array().cast("array<bigint>"))))
+    hits = checkpoint(probing.join(indexed.select("bucket"), "bucket", "left_semi"))
+    wanted = checkpoint(hits.select("bucket").union(indexed.where("n > 1").select("bucket")).distinct())
+    met = hits.union(index.join(lookup(wanted), "bucket", "left_semi"))
+    # a line is in two windows of lengths, so that lengths up to the threshold apart share one
+    window = F.posexplode(F.array(F.expr(f"chars DIV {threshold + 1}"), F.expr(f"chars DIV {threshold + 1} + 1"))).alias("second", "w")
+    windows = checkpoint(met.select("bucket", "node", window).select(F.xxhash64("bucket", "w").alias("bucket"), "node", "second").distinct())
+    # lines that are all in their second window have met in their first
+    useful = windows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("second").alias("least")).where("n > 1 AND least = 0")
+    return checkpoint(windows.join(useful.select("bucket"), "bucket", "left_semi").select("bucket", "node"))
 
 
 #: Lines, and their characters, in a block; two blocks are compared in one row.
@@ -239,7 +230,9 @@ COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "cu", "mf", "p
 
 
 def _counts(line: Column) -> Column:
-    return F.array(*[F.length(line) - F.length(F.translate(line, kind, "")) for kind in COUNTED])
+    # taking characters out one by one is faster than translate(), which looks each character up
+    without = lambda kind: reduce(lambda rest, c: F.replace(rest, F.lit(c), F.lit("")), kind, line)
+    return F.array(*[F.length(line) - F.length(without(kind)) for kind in COUNTED])
 
 
 def _countable(x: Column, y: Column, threshold: int) -> Column:
@@ -263,21 +256,22 @@ def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], D
 
     def among(left: DataFrame) -> DataFrame:
         """A bucket is dealt to blocks by a hash, and each pair of blocks is one row of two arrays."""
-        counted = texts(left.select("node")).withColumn("counts", _counts(F.col("line")))
+        counted = texts(left.select("node")).withColumns({"counts": _counts(F.col("line")), "chars": F.length("line")})
         rows = left.join(counted, "node")
         size = F.greatest(F.count("*") / BLOCK_LINES, F.sum(F.length("line")) / BLOCK_CHARS)
         blocks = rows.groupBy("bucket").agg(F.ceil(size).cast("int").alias("k"))
         dealt = saved(
             rows.join(blocks, "bucket")
             .groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
-            .agg(F.collect_list(F.struct("node", "component", "line", "counts")).alias("lines"))
+            .agg(F.collect_list(F.struct("node", "component", "line", "chars", "counts")).alias("lines"))
         )
         a = dealt.select("bucket", F.col("block").alias("i"), F.col("lines").alias("xs"))
         b = dealt.select("bucket", F.col("block").alias("j"), F.col("lines").alias("ys"))
 
         def of(x: Column) -> Column:
             other = lambda y: (x["component"] != y["component"]) & ((F.col("i") < F.col("j")) | (x["node"] < y["node"]))
-            able = lambda y: F.when(other(y), _countable(x["counts"], y["counts"], threshold)).otherwise(False)
+            size = lambda y: other(y) & (F.abs(x["chars"] - y["chars"]) <= threshold)
+            able = lambda y: F.when(size(y), _countable(x["counts"], y["counts"], threshold)).otherwise(False)
             link = lambda y: F.when(able(y), near(x["line"], y["line"], threshold)).otherwise(False)
             return F.transform(F.filter(F.col("ys"), link), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
 

@@ -335,6 +335,28 @@ def test_lines_of_a_large_group_that_links_in_parts(spark):
     assert got == gone
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3, 4])
+def test_near_lines_meet(spark, threshold):
+    """Lines of all lengths near the bounds of classes meet what they are linked with, and have few keys."""
+    rng, rows = random.Random(threshold), []
+    for n in [*range(20, 36), *range(60, 84), 95, 96, 97, 111, 112, 113, 127, 128, 129, 130, 255, 256, 258, 319, 320, 321, 322]:
+        for _ in range(3):
+            a = [rng.choice("abcdefghijklmnopqrstuvwxyzé🎈") for _ in range(n)]
+            b = list(a)
+            for _ in range(threshold):
+                k = rng.choice([0, len(b) - 1, rng.randrange(len(b))])
+                rng.choice([lambda: b.__setitem__(k, "_"), lambda: b.insert(k, "_"), lambda: b.append("_"), lambda: b.pop(k)])()
+            rows += [(2 * len(rows), "".join(a)), (2 * len(rows) + 1, "".join(b))]
+    rows = [(node, line, len(line)) for node, (_, line) in enumerate(rows)]
+    met = lines._met(spark.createDataFrame(rows, "node long, line string, chars int"), threshold).collect()
+    buckets = {}
+    for r in met:
+        buckets.setdefault(r["node"], set()).add(r["bucket"])
+    assert [k for k in range(0, len(rows), 2) if not buckets.get(k, set()) & buckets.get(k + 1, set())] == []
+    own, probes = lines.signatures(threshold, F.lit(0))
+    assert len(own) + len(probes) <= {1: 2, 2: 5, 3: 8, 4: 13}[threshold]
+
+
 def test_near_lines(spark):
     rng, rows = random.Random(8), []
     for _ in range(400):
