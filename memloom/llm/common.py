@@ -43,9 +43,11 @@ def saved(df: DataFrame) -> DataFrame:
     """``df``, written to the shared checkpoint folder as Parquet and read again.
 
     For tables with texts: they are compressed there, and a reader takes only the columns it needs.
+    As in :func:`checkpoint`, shuffle files of earlier steps are let go first.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    spark.sparkContext._jvm.System.gc()
     path = f"{spark.sparkContext.getCheckpointDir()}/saved-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -10,10 +10,22 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-#: Links that a task reads; few links make few tasks, whatever the number of shuffle partitions.
+#: Links that a task reads. So many or fewer are one task's, and a round over them needs no shuffle.
 LINKS_A_TASK = 100_000
 
 
+def _round(edges: DataFrame, tasks: int) -> DataFrame:
+    """One large and one small star. Both ends of a link come from one row, so that links of one task stay there."""
+    edges = edges.coalesce(tasks)
+    ends = lambda *pairs: F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs]))
+    both = edges.select(ends(("u", "v"), ("v", "u")).alias("_")).select("_.u", "_.v")
+    lowest = both.groupBy("u").agg(F.min("v").alias("m"))
+    large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().coalesce(tasks)
+    lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lowest, "u").select(ends(("v", "m"), ("u", "m")).alias("_")).select("_.u", "_.v")
+    return small.where("u <> v").distinct()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """The smallest id reachable from each id that has a link.
 
@@ -26,33 +38,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.where("v > u")
-            .join(lowest, "u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(lowest, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(lowest.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = checkpoint(small)
+        edges = checkpoint(_round(edges, 1 + n // LINKS_A_TASK))
         after = edges.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
         ).first()
         if after == before:
             break
-        before = after
-        edges = edges.coalesce(1 + after["n"] // LINKS_A_TASK)
+        before, n = after, after["n"]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -7,7 +7,7 @@ place from the start, and one of the right half within ``threshold - i`` of its
 however much longer the other line is. Lengths form classes, whose lines have segments of one size;
 segments are indexed by class and number, and each line probes its class, and the one below if a line
 of it can be near enough, with the few substrings that can match. Lines that meet, and whose lengths
-are near enough, are verified by a banded bit-parallel edit distance.
+are near enough, are verified by Spark's banded ``levenshtein``, long ones by banded bit-parallel steps.
 """
 
 from __future__ import annotations
@@ -141,8 +141,18 @@ def _half_alike(c: Column) -> Column:
     return (F.least(n, m) < SHORT_CORE) | reduce(lambda a, b: a | b, tests)
 
 
+#: Longer lines are verified by :func:`_near_long`: the time that ``levenshtein`` takes grows with the square of the length.
+SHORT_LINE = 512
+
+
 def near(x: Column, y: Column, threshold: int) -> Column:
-    """Whether two lines are at most ``threshold`` edits apart.
+    """Whether two lines are at most ``threshold`` edits apart."""
+    short = F.greatest(F.length(x), F.length(y)) <= SHORT_LINE
+    return F.when(short, F.levenshtein(x, y, threshold) >= 0).otherwise(_near_long(x, y, threshold))
+
+
+def _near_long(x: Column, y: Column, threshold: int) -> Column:
+    """As :func:`near`, for lines of any length.
 
     Common ends are taken off first, which leaves the distance as it is.
     """
@@ -179,15 +189,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _lines(texts: DataFrame) -> DataFrame:
-    """``id, version, n, line, chars``: each line of each text, by its number.
+    """``id, version, n, line, chars``: each line of each text, trimmed and lower-cased, by its number.
 
-    Lines are trimmed, lower-cased and measured before they are exploded, so once each.
+    A text is lower-cased as a whole: no letter's lower case depends on what stands beyond a line's end.
     """
-    plain = F.transform(F.split("text", "\n", -1), lambda x: F.lower(F.trim(x)))
-    measured = F.transform(plain, lambda x: F.struct(x.alias("line"), F.length(x).alias("chars")))
-    # there is always a line; a plain explode would have the lines made once more, to see whether there is one
-    rows = texts.select("id", "version", F.posexplode_outer(measured).alias("n", "_line"))
-    return rows.select("id", "version", "n", "_line.line", "_line.chars")
+    raw = texts.select("id", "version", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("n", "line"))
+    return raw.withColumn("line", F.trim("line")).withColumn("chars", F.length("line"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -222,17 +229,14 @@ def _met(distinct: DataFrame, threshold: int) -> DataFrame:
     return checkpoint(windows.join(useful.select("bucket"), "bucket", "left_semi").select("bucket", "node"))
 
 
-#: Lines, and their characters, in a block; two blocks are compared in one row.
-BLOCK_LINES = 32
-BLOCK_CHARS = 1 << 16
-#: Kinds of characters that are counted. An edit changes two counts by one at most.
-COUNTED = ("e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "cu", "mf", "pgwyb", "vkxjqz", "0123456789")
+#: Lines in a block of a bucket; two blocks are compared in one group of a join.
+BLOCK_LINES = 1024
+#: Characters that are counted. An edit changes two counts by one at most.
+COUNTED = "etaoinsrhldu "
 
 
 def _counts(line: Column) -> Column:
-    # taking characters out one by one is faster than translate(), which looks each character up
-    without = lambda kind: reduce(lambda rest, c: F.replace(rest, F.lit(c), F.lit("")), kind, line)
-    return F.array(*[F.length(line) - F.length(without(kind)) for kind in COUNTED])
+    return F.array(*[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
 
 
 def _countable(x: Column, y: Column, threshold: int) -> Column:
@@ -240,44 +244,38 @@ def _countable(x: Column, y: Column, threshold: int) -> Column:
     return reduce(lambda a, b: a + b, [F.abs(F.get(x, i) - F.get(y, i)) for i in range(len(COUNTED))]) <= 2 * threshold
 
 
-def _tests(distinct: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
-    """How pairs are confirmed, and how links are found among the nodes of a bucket."""
+def _tests(known: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """How pairs are confirmed, and how links are found among the nodes of a bucket.
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        wanted = checkpoint(nodes.distinct())
-        return distinct.select("node", "line").join(lookup(wanted), "node", "left_semi")
+    ``known`` has ``node, line, chars, counts`` of all lines that met another.
+    """
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        lines = texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        both = pairs.join(lines.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
-            lines.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
+        both = pairs.join(known.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").join(
+            known.select(F.col("node").alias("a"), F.col("line").alias("x")), "a"
         )
         return both.where(near(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
     def among(left: DataFrame) -> DataFrame:
-        """A bucket is dealt to blocks by a hash, and each pair of blocks is one row of two arrays."""
-        counted = texts(left.select("node")).withColumns({"counts": _counts(F.col("line")), "chars": F.length("line")})
-        rows = left.join(counted, "node")
-        size = F.greatest(F.count("*") / BLOCK_LINES, F.sum(F.length("line")) / BLOCK_CHARS)
-        blocks = rows.groupBy("bucket").agg(F.ceil(size).cast("int").alias("k"))
-        dealt = saved(
-            rows.join(blocks, "bucket")
-            .groupBy("bucket", F.pmod(F.xxhash64("node"), F.col("k")).alias("block"))
-            .agg(F.collect_list(F.struct("node", "component", "line", "chars", "counts")).alias("lines"))
+        """A bucket is dealt to blocks by a hash; blocks are joined in pairs on counts, and what can be linked is confirmed."""
+        blocks = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("k"))
+        counted = left.join(known.select("node", "chars", "counts"), "node").join(blocks, "bucket")
+        dealt = saved(counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+
+        def side(name: str, own: str, other: str, others: Column) -> DataFrame:
+            of = [F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "chars", "counts")]
+            return dealt.select("bucket", F.col("block").alias(own), F.explode(others).alias(other), *of)
+
+        x = side("x", "i", "j", F.sequence("block", F.col("k") - 1))
+        y = side("y", "j", "i", F.sequence(F.lit(0), "block"))
+        able = (
+            ((F.col("i") < F.col("j")) | (F.col("node_x") < F.col("node_y")))
+            & (F.col("component_x") != F.col("component_y"))
+            & (F.abs(F.col("chars_x") - F.col("chars_y")) <= threshold)
+            & _countable(F.col("counts_x"), F.col("counts_y"), threshold)
         )
-        a = dealt.select("bucket", F.col("block").alias("i"), F.col("lines").alias("xs"))
-        b = dealt.select("bucket", F.col("block").alias("j"), F.col("lines").alias("ys"))
-
-        def of(x: Column) -> Column:
-            other = lambda y: (x["component"] != y["component"]) & ((F.col("i") < F.col("j")) | (x["node"] < y["node"]))
-            size = lambda y: other(y) & (F.abs(x["chars"] - y["chars"]) <= threshold)
-            able = lambda y: F.when(size(y), _countable(x["counts"], y["counts"], threshold)).otherwise(False)
-            link = lambda y: F.when(able(y), near(x["line"], y["line"], threshold)).otherwise(False)
-            return F.transform(F.filter(F.col("ys"), link), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))
-
-        # an outer explode: the optimizer would compute the operand of a plain one once more, for a filter
-        found = a.join(b, "bucket").where("i <= j").select(F.explode_outer(F.flatten(F.transform("xs", of))).alias("_"))
-        return found.where("_ IS NOT NULL").select("_.*")
+        pairs = x.join(y, ["bucket", "i", "j"]).where(able)
+        return confirm(checkpoint(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()))
 
     return confirm, among
 
@@ -294,15 +292,18 @@ def duplicate_lines(
         .agg(F.min("id").alias("id"), F.count("*").alias("copies"))
         .select("line", F.length("line").alias("chars"), *name, "id", "copies", F.monotonically_increasing_id().alias("node"))
     )
-    linked = components(bucket_links(_met(distinct.where(F.col("chars") >= min_chars), threshold), *_tests(distinct, threshold)))
-    grouped = distinct.join(linked.withColumnRenamed("id", "node"), "node", "left").select(
-        "h1", "h2", "id", "copies", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("near")
+    met = _met(distinct.where(F.col("chars") >= min_chars), threshold)
+    nodes = lookup(checkpoint(met.select("node").distinct()))
+    known = saved(
+        distinct.select("node", "line", "chars").join(nodes, "node", "left_semi").withColumn("counts", _counts(F.col("line")))
     )
-    first = grouped.where("near").groupBy("component").agg(F.min("id").alias("first_id"))
+    linked = checkpoint(components(bucket_links(met, *_tests(known, threshold))).withColumnRenamed("id", "node"))
+    first = distinct.select("node", "id").join(lookup(linked), "node").groupBy("component").agg(F.min("id").alias("first_id"))
     again = (
-        grouped.where("near OR copies > 1")
-        .join(first, "component", "left")
-        .select("h1", "h2", "component", F.coalesce("first_id", "id").alias("first_id"))
+        distinct.select("node", "h1", "h2", "id", "copies")
+        .join(lookup(checkpoint(linked.join(first, "component"))), "node", "left")
+        .where("component IS NOT NULL OR copies > 1")
+        .select("h1", "h2", F.coalesce("component", "node").alias("component"), F.coalesce("first_id", "id").alias("first_id"))
     )
     named = long_lines.select("id", "version", "n", *name)
     found = checkpoint(named.join(again, ["h1", "h2"]).drop("h1", "h2"))

@@ -123,6 +123,13 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_round_over_few_links_has_no_shuffle(spark):
+    links = common.checkpoint(spark.range(9).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")).repartition(3))
+    plan = components._round(links, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    assert {(r["u"], r["v"]) for r in components._round(links, 1).collect()} == {(r["u"], r["v"]) for r in components._round(links, 3).collect()}
+
+
 def substring_plainly(texts):
     seen, gone, out = {}, {i: set() for i in texts}, {}
     for i in sorted(texts):
@@ -371,6 +378,32 @@ def test_near_lines(spark):
         assert [r for r in got if r["near"] != (distance(r["a"], r["b"]) <= k)] == []
 
 
+def test_near_lines_short_and_long(spark):
+    """Lines around the bound of levenshtein, and lines that are only near as whole code points."""
+    rng, rows = random.Random(3), []
+    for n in (0, 1, 30, lines.SHORT_LINE - 2, lines.SHORT_LINE, lines.SHORT_LINE + 2):
+        for edits in (0, 2, 3, 4):
+            a = [rng.choice("abcé🎈") for _ in range(n)]
+            b = list(a)
+            for k in sorted(rng.sample(range(n), min(edits, n)), reverse=True):
+                rng.choice([lambda: b.__setitem__(k, "_"), lambda: b.insert(k, "_"), lambda: b.pop(k)])()
+            rows.append(("".join(a), "".join(b)))
+    both = spark.createDataFrame(rows, "a string, b string")
+    got = both.withColumns({"near": lines.near(F.col("a"), F.col("b"), 3), "plan": F.lit(1)}).collect()
+    assert [r for r in got if r["near"] != (distance(r["a"], r["b"]) <= 3)] == []
+    plan = both.where(lines.near(F.col("a"), F.col("b"), 3))._jdf.queryExecution().analyzed().toString()
+    assert "levenshtein" in plan
+
+
+def test_lower_case_of_whole_texts(spark):
+    """Texts are lower-cased before they are cut into lines; a final sigma looks at its neighbours."""
+    texts = {1: "ΟΔΟΣ\nΑΒΓ ΣΑΣ \n  İstanbul ÇOK\nΣ\nA", 2: None, 3: "", 4: "x\n\n Y "}
+    got = lines.split_lines(docs_of(spark, texts)).select("id", "n", "line", "chars").collect()
+    each = [(i, n, x.strip(" ")) for i, t in texts.items() for n, x in enumerate((t or "").split("\n"))]
+    plain = spark.createDataFrame(each, "id long, n int, line string").select("id", "n", F.lower("line").alias("line"), F.length(F.lower("line")).alias("chars"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain.collect()))
+
+
 def test_banded_distance(spark):
     rng = random.Random(6)
     rows = []
