@@ -257,13 +257,14 @@ def _tests(known: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], Data
         return both.where(near(F.col("x"), F.col("y"), threshold)).select("a", "b")
 
     def among(left: DataFrame) -> DataFrame:
-        """A bucket is dealt to blocks by a hash; blocks are joined in pairs on counts, and what can be linked is confirmed."""
+        """A bucket is dealt to blocks by a hash, and blocks are joined in pairs. Short lines are compared there, long ones after."""
         blocks = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_LINES).cast("int").alias("k"))
-        counted = left.join(known.select("node", "chars", "counts"), "node").join(blocks, "bucket")
+        short = F.when(F.col("chars") <= SHORT_LINE, F.col("line")).alias("line")
+        counted = left.join(known.select("node", "chars", "counts", short), "node").join(blocks, "bucket")
         dealt = saved(counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
 
         def side(name: str, own: str, other: str, others: Column) -> DataFrame:
-            of = [F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "chars", "counts")]
+            of = [F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "chars", "counts", "line")]
             return dealt.select("bucket", F.col("block").alias(own), F.explode(others).alias(other), *of)
 
         x = side("x", "i", "j", F.sequence("block", F.col("k") - 1))
@@ -273,6 +274,7 @@ def _tests(known: DataFrame, threshold: int) -> tuple[Callable[[DataFrame], Data
             & (F.col("component_x") != F.col("component_y"))
             & (F.abs(F.col("chars_x") - F.col("chars_y")) <= threshold)
             & _countable(F.col("counts_x"), F.col("counts_y"), threshold)
+            & F.coalesce(F.levenshtein("line_x", "line_y", threshold) >= 0, F.lit(True))
         )
         pairs = x.join(y, ["bucket", "i", "j"]).where(able)
         return confirm(checkpoint(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()))
